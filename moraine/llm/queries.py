@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality_rules, simhash, token_codec, token_count
+from . import decontaminate, mixing, quality_rules, simhash, substring_dedup, token_codec, token_count
 
 #: Where the public vocabularies are, unless told otherwise.
 TOKENIZERS = "/opt/tokenizers"
@@ -47,6 +47,10 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codec.encoded(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_quality_rules, op7_simhash, op8_token_counts, op9_token_output)}
+def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_quality_rules, op7_simhash, op8_token_counts, op9_token_output, op10_repeated_strings)}
 
 ORACLE_SQL: dict[str, str] = {}
