@@ -104,7 +104,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     n_sources, total, rows = sources.agg(F.count("*"), F.coalesce(F.max("total"), F.lit(0)), F.lit(sizes.count())).first()
     block = block or max(16, min(4096, total // (512 * max(1, n_sources))))
     slots = -(-total // block)
-    buckets = max(1, rows // 20_000)
+    buckets = max(16, rows // 20_000)
     ranked = durable(schedule(sources, block, slots))
     takes = ranked.groupBy("sid").agg((F.max("rank") + 1).alias("n"))
     plan = durable(sources.join(takes, "sid", "left").withColumn("length", F.least(F.coalesce("n", F.lit(0)) * block, F.round("target").cast("long"))).drop("n"))
