@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality_rank, quality_rules, simhash, substring_dedup, token_codec, token_count, url_filter
+from . import decontaminate, html_extract, mixing, quality_rank, quality_rules, simhash, substring_dedup, token_codec, token_count, url_filter
 
 #: Where the public vocabularies are, unless told otherwise.
 TOKENIZERS = "/opt/tokenizers"
@@ -35,6 +35,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rank.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,6 +63,6 @@ def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_quality_rules, op5_quality_rank, op6_url_filter, op7_simhash, op8_token_counts, op9_token_output, op10_repeated_strings)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_quality_rules, op4_html_extract, op5_quality_rank, op6_url_filter, op7_simhash, op8_token_counts, op9_token_output, op10_repeated_strings)}
 
 ORACLE_SQL: dict[str, str] = {}
