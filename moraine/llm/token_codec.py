@@ -172,7 +172,7 @@ class Encoder:
     MARK = b"\x01"
     LETTERS = re.compile("[a-zß-öø-ÿ]+")
 
-    def __init__(self, path: str, end: int | None, keep: int = 1_000_000):
+    def __init__(self, path: str, end: int | None, keep: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.keep, self.known = Tokenizer.from_file(path), end, keep, {}

@@ -45,7 +45,7 @@ def byte_letters() -> list[str]:
 class Transducer:
     """Compiled states of one vocabulary."""
 
-    def __init__(self, path: str, most_states: int = 1_000_000):
+    def __init__(self, path: str, most_states: int = 400_000):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         self.special = [t["content"] for t in model["added_tokens"]]
@@ -187,7 +187,7 @@ class _Known(dict):
 class Counter:
     """Token counts of whole texts."""
 
-    def __init__(self, path: str, chunk: int = 1 << 16, keep: int = 500_000):
+    def __init__(self, path: str, chunk: int = 1 << 16, keep: int = 300_000):
         self.transducer = Transducer(path)
         self.known, self.chunk, self.keep = _Known(self.transducer), chunk, keep
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.transducer.special, key=len, reverse=True))) or r"(?!)")
