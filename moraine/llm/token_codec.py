@@ -27,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Staged, durable, pick, shared_folder, texts
@@ -157,64 +157,47 @@ def unpack(coder: Coder, block: bytes) -> Iterator[tuple[int | None, np.ndarray]
         first += n
 
 
-class Encoder:
+class Encoder(dict):
     """A tokenizer of the tokenizers library, with a memory of words.
 
     For tokenizers that lower-case, turn white space into blanks and drop
     those when they split: a text's ids are those of its parts between ASCII
-    white space, in turn. Each distinct part is encoded by the library once
-    and kept in a table of bounded size. A part of lower-case Latin letters is
-    one piece as it stands, so the library's model takes it at once; others
-    pass through the whole tokenizer, many at a time, with a lone control
-    character between them as a mark.
+    white space, in turn. Letters and the punctuation after them are pieces of
+    their own, and a piece of lower-case Latin letters goes to the library's
+    model as it stands; other parts pass through the whole tokenizer. The
+    dictionary holds the ids of parts met lately, in two generations of
+    bounded size: when the young one is full it becomes the old one.
     """
 
-    MARK = b"\x01"
-    LETTERS = re.compile("[a-zß-öø-ÿ]+")
+    PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str, end: int | None, keep: int = 250_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.keep, self.known = Tokenizer.from_file(path), end, keep, {}
+        super().__init__()
+        self.tokenizer, self.keep, self.old = Tokenizer.from_file(path), keep, {}
         self.model, self.spelling = self.tokenizer.model, dict(enumerate(byte_letters()))
-        self.stops = {s: self._ids(s) for s in (b".", b",")}
-        (self.mark,) = self.tokenizer.encode(self.MARK.decode(), add_special_tokens=False).ids
-
-    def _ids(self, part: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(part.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, parts: set[bytes]) -> None:
-        known = self.known
-        # a letter and a stop are apart in any case, so the stop can come off
-        stopped = [w for w in parts if w[-1:] in self.stops and w[-2:-1].isalpha()]
-        stems = {w[:-1] for w in stopped}
-        new = [w for w in (parts.difference(stopped) | stems) if w not in known]
-        rest = []
-        for w in new:
-            if self.LETTERS.fullmatch(w.decode("utf-8", "replace")):
-                known[w] = np.array([t.id for t in self.model.tokenize(w.decode("latin-1").translate(self.spelling))], "<u4").tobytes()
-            elif self.MARK in w:
-                known[w] = self._ids(w)
+        self.tail = b"" if end is None else np.array([end], "<u4").tobytes()
+
+    def __missing__(self, part: bytes) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            plain = self.PLAIN.fullmatch(part.decode("utf-8", "replace"))
+            if plain and plain[2]:
+                ids = self[plain[1].encode()] + self[plain[2].encode()]
+            elif plain:
+                ids = np.array([t.id for t in self.model.tokenize(part.decode("latin-1").translate(self.spelling))], "<u4").tobytes()
             else:
-                rest.append(w)
-        between = b" " + self.MARK + b" "
-        for a in range(0, len(rest), 4000):
-            some = rest[a : a + 4000]
-            ids = np.array(self.tokenizer.encode(between.join(some).decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
-            edges = [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            raw = ids.tobytes()
-            known.update((w, raw[4 * i + 4 : 4 * j]) for w, i, j in zip(some, edges[:-1], edges[1:], strict=True))
-        known.update((w, known[w[:-1]] + self.stops[w[-1:]]) for w in stopped)
-
-    def __call__(self, batch: list[bytes]) -> list[np.ndarray]:
-        split = [t.lower().split() for t in batch]
-        if len(self.known) > self.keep:
-            self.known.clear()
-        known = self.known
-        if new := {w for ws in split for w in ws if w not in known}:
-            self._learn(new)
-        tail = b"" if self.end is None else np.array([self.end], "<u4").tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in ws]) + tail, "<u4") for ws in split]
+                ids = np.array(self.tokenizer.encode(part.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        self[part] = ids
+        return ids
+
+    def __call__(self, text: bytes) -> bytes:
+        """Little-endian uint32 ids of one text."""
+        if len(self) > self.keep:
+            self.old = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, text.lower().split())) + self.tail
 
 
 @lru_cache(maxsize=4)
@@ -223,6 +206,23 @@ def encoder(path: str, end: int | None) -> Encoder:
     return Encoder(path, end)
 
 
+def _part(d: DataFrame, n: int) -> Column:
+    """Which of n ranges of doc_id a row lies in; nulls in the first.
+
+    The bounds are quantiles of the ids alone, so texts are read once only.
+    They are looked up in two steps: among every m-th, then among m.
+    """
+    bounds = sorted(set(d.select("doc_id").stat.approxQuantile("doc_id", [k / n for k in range(1, n)], min(0.01, 0.1 / n)))) if n > 1 else []
+    if not bounds:
+        return F.lit(0)
+    m = max(1, round(len(bounds) ** 0.5))
+    chunks = [bounds[a : a + m] for a in range(0, len(bounds), m)]
+    number = F.col("doc_id").cast("double")
+    below = lambda xs: F.size(F.filter(xs, lambda b: b < number))
+    chunk = F.greatest(below(F.lit([c[0] for c in chunks])) - 1, F.lit(0))
+    return F.coalesce(chunk * m + below(F.get(F.lit(chunks), chunk)), F.lit(0))
+
+
 def tokenized(docs: DataFrame, path: str, end: int | None, partitions: int | None = None) -> DataFrame:
     """(part, seq, doc_id, n, ids): in ascending doc_id order over parts and within each.
 
@@ -232,7 +232,7 @@ def tokenized(docs: DataFrame, path: str, end: int | None, partitions: int | Non
     spark = docs.sparkSession
     d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = d.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    d = d.repartitionById(n, _part(d, n)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -241,9 +241,9 @@ def tokenized(docs: DataFrame, path: str, end: int | None, partitions: int | Non
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 some = b.slice(a, 256)
-                ids = encode(texts(some.column(1)))
+                ids = [encode(t) for t in texts(some.column(1))]
                 k = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int32()), pa.array(range(seq, seq + k), pa.int64()), some.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["part", "seq", "doc_id", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int32()), pa.array(range(seq, seq + k), pa.int64()), some.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["part", "seq", "doc_id", "n", "ids"])
                 seq += k
 
     return d.mapInArrow(run, "part int, seq long, doc_id long, n long, ids binary")
