@@ -44,7 +44,9 @@ BASE = 0x9E3779B97F4A7C55
 #: From so many distinct phrases on, a key's windows are dealt out by their own hash.
 WIDE = 20_000
 #: Phrases in a bucket, about; a phrase begins every 31 bytes.
-IN_BUCKET = 1_500_000
+IN_BUCKET = 400_000
+#: Pieces that are parsed before their phrases go on.
+AT_ONCE = 12
 FIRST_ID = -(1 << 63)
 START_BITS, RUN_BITS, SUB_BITS = 32, 7, 24
 PHRASE = np.dtype([("key", "<u8"), ("unit", "<u8"), ("doc", "<i8"), ("loc", "<u8")])
@@ -132,10 +134,8 @@ def location(sub: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
 def repeats_at(phrases: np.ndarray) -> np.ndarray:
     """The windows of whole phrases, with neighbouring runs joined."""
     out = np.zeros(len(phrases), REPEAT)
-    loc = phrases["loc"]
-    out["doc"], out["sub"] = phrases["doc"], (loc >> np.uint64(START_BITS + RUN_BITS)).astype(np.int64)
-    out["start"] = ((loc >> np.uint64(RUN_BITS)) & np.uint64((1 << START_BITS) - 1)).astype(np.int64)
-    out["n"] = (loc & np.uint64((1 << RUN_BITS) - 1)).astype(np.int64)
+    out["doc"] = phrases["doc"]
+    out["sub"], out["start"], out["n"] = (x.astype(np.int64) for x in fields(phrases["loc"]))
     return joined_runs(out)
 
 
@@ -182,12 +182,12 @@ def _batches(b: pa.RecordBatch) -> Iterator[list]:
         yield some
 
 
-def _rows(kind: int, buckets: np.ndarray, records: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _rows(kind: int, buckets: np.ndarray, records: np.ndarray, pack=np.ndarray.tobytes) -> Iterator[pa.RecordBatch]:
     """Records packed by bucket."""
     order = np.argsort(buckets, kind="stable")
     buckets, records = buckets[order], records[order]
     edge = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1], [True]])) if len(buckets) else np.zeros(1, np.int64)
-    blobs = [records[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
+    blobs = [pack(records[a:b]) for a, b in zip(edge[:-1], edge[1:])]
     if blobs:
         yield pa.RecordBatch.from_arrays([pa.array([kind] * len(blobs), pa.int32()), pa.array(buckets[edge[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], names=["kind", "bucket", "blob"])
 
@@ -196,16 +196,54 @@ PACKED = "kind int, bucket int, blob binary"
 PHRASES, REPEATS, WINDOWS, CONTEXTS, WIDE_ONES = range(5)
 
 
+def packed(p: np.ndarray, n_buckets: int) -> bytes:
+    """Phrases of one bucket, column by column; documents by number in a list of their own.
+
+    A key keeps 32 bits beside those that chose the bucket. Keys that fall
+    together make an ambiguous one, no wrong result.
+    """
+    sub, start, runs = fields(p["loc"])
+    names, own = np.unique(np.stack([p["doc"], sub.astype(np.int64)], axis=1), axis=0, return_inverse=True)
+    columns = [names[:, 0].astype("<i8"), names[:, 1].astype("<u4"), (p["key"] // np.uint64(n_buckets)).astype("<u4"), p["unit"], own.ravel().astype("<u2" if len(names) < 1 << 16 else "<u4"), (start & np.uint64(0xFFFF)).astype("<u2"), (start >> np.uint64(16)).astype("<u2"), runs.astype(np.uint8)]
+    return np.array([len(p), len(names)], "<u4").tobytes() + b"".join(c.tobytes() for c in columns)
+
+
+def unpacked(blob: bytes, bucket: int, n_buckets: int) -> np.ndarray:
+    n, m = np.frombuffer(blob, "<u4", 2).tolist()
+    out, at, columns = np.zeros(n, PHRASE), 8, []
+    for kind, k in (("<i8", m), ("<u4", m), ("<u4", n), ("<u8", n), ("<u2" if m < 1 << 16 else "<u4", n), ("<u2", n), ("<u2", n), ("u1", n)):
+        columns.append(np.frombuffer(blob, kind, k, at))
+        at += k * np.dtype(kind).itemsize
+    doc, sub, key, unit, own, low, high, runs = columns
+    out["key"], out["unit"], out["doc"] = key.astype(np.uint64) * np.uint64(n_buckets) + np.uint64(bucket), unit, doc[own]
+    out["loc"] = location(sub[own], low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(16)), runs)
+    return out
+
+
+def fields(loc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """sub, start and number of windows."""
+    return loc >> np.uint64(START_BITS + RUN_BITS), (loc >> np.uint64(RUN_BITS)) & np.uint64((1 << START_BITS) - 1), loc & np.uint64((1 << RUN_BITS) - 1)
+
+
 def _parsed(keyed: DataFrame, n_buckets: int) -> DataFrame:
+    def dealt(phrases: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        first, later = first_of_equals(np.concatenate(phrases))
+        bucket = (first["key"] % np.uint64(n_buckets)).astype(np.int64)
+        yield from _rows(PHRASES, bucket, first, lambda x: packed(x, n_buckets))
+        again = repeats_at(later)
+        yield from _rows(REPEATS, np.abs(again["doc"]) % n_buckets, again)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parse, n = Parser(), np.uint64(n_buckets)
+        parse = Parser()
         for b in batches:
-            phrases = [parse(some) for some in _batches(b)]
+            phrases = []
+            for some in _batches(b):
+                phrases.append(parse(some))
+                if len(phrases) == AT_ONCE:
+                    yield from dealt(phrases)
+                    phrases = []
             if phrases:
-                first, later = first_of_equals(np.concatenate(phrases))
-                again = repeats_at(later)
-                yield from _rows(PHRASES, (first["key"] % n).astype(np.int64), first)
-                yield from _rows(REPEATS, np.abs(again["doc"]) % n_buckets, again)
+                yield from dealt(phrases)
 
     return keyed.mapInArrow(run, PACKED)
 
@@ -219,7 +257,10 @@ def _by_key(parsed: DataFrame, n_buckets: int) -> DataFrame:
     """Repeats found by key, and the ambiguous phrases (kind PHRASES, or WIDE_ONES)."""
 
     def run(table: pa.Table) -> pa.Table:
-        first, later = first_of_equals(_gathered(table, PHRASES, PHRASE))
+        rows = zip(table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("blob").to_pylist())
+        every = [unpacked(blob, bucket, n_buckets) for kind, bucket, blob in rows if kind == PHRASES]
+        first, later = first_of_equals(np.concatenate([np.zeros(0, PHRASE), *every]))
+        del every
         edge = np.concatenate([[True], first["key"][1:] != first["key"][:-1]]) if len(first) else np.zeros(0, bool)
         group = np.cumsum(edge) - 1
         size = np.bincount(group)[group] if len(first) else np.zeros(0, int)
@@ -260,7 +301,7 @@ def _fetched(keyed: DataFrame, ambiguous: DataFrame, n_buckets: int) -> DataFram
             for text, phrases in zip(texts(b.column(0)), b.column(1).to_pylist()):
                 for x in phrases:
                     p = np.frombuffer(x["at"], PHRASE)
-                    start, runs = (p["loc"] >> np.uint64(RUN_BITS)) & np.uint64((1 << START_BITS) - 1), p["loc"] & np.uint64((1 << RUN_BITS) - 1)
+                    _, start, runs = fields(p["loc"])
                     ends = (start + runs).astype(np.int64) + WIDTH - 1
                     cut = [text[a:z] for a, z in zip(start.tolist(), ends.tolist())]
                     if x["kind"] == WIDE_ONES:
