@@ -85,9 +85,7 @@ class Engine:
     # --- tables ---
 
     def create_table(self, name: str, schema: T.StructType | str, partitioning: list = (), sort_order: list[str] = (), properties: dict | None = None) -> Table:
-        """schema: a StructType or DDL (``TIMESTAMP`` has no zone, ``TIMESTAMP_LTZ`` has)."""
-        if isinstance(schema, str):
-            schema = T.StructType.fromJson(T.StructType.fromDDL(schema).jsonValue())
+        """schema: a StructType or DDL; say TIMESTAMP_NTZ for a timestamp without zone, TIMESTAMP_LTZ for one with."""
         return self.catalog.create(name, schema, partitioning, sort_order, properties)
 
     def table(self, name: str, refresh: bool = False) -> Table:

@@ -162,7 +162,7 @@ def _micros(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.TimeType):
         part = F.date_part(F.lit("second"), c)
         return F.hour(c).cast("bigint") * 3_600_000_000 + F.minute(c).cast("bigint") * 60_000_000 + (part * 1_000_000).cast("bigint")
-    return F.unix_micros(c.cast("timestamp"))  # the session is in UTC
+    return F.unix_micros(c.cast(T.TimestampType()))  # the session is in UTC
 
 
 def _murmur3_udf(kind: T.DataType):

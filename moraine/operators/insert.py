@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..errors import check
 from ..plans.predicates import Predicate
 from ..sources.commit import Change, CommitMetrics
-from ..sources.scan import read_files
+from ..sources.scan import read_table
 from ..sources.writer import project
 from .command import Command, values_filter
 
@@ -43,7 +43,7 @@ class Insert(Command):
         where = self._filter
         if self._filter_columns:
             # from what was written, so that the source runs once
-            where = values_filter(read_files(self.engine.spark, self.table.schema, [f.path for f in files]), self._filter_columns)
+            where = values_filter(read_table(self.table, [f.path for f in files]), self._filter_columns)
         if where is None:
             return self._finish(Change(files, base=base.id if base else None))
         return self._finish(Change(files, [], base.id if base else None, where, self._level(), where))

@@ -21,7 +21,7 @@ from ..errors import check
 from ..functions.types import ID, literal, parse_timestamp
 from ..plans.predicates import Predicate, and_, equal, greater_than_or_equal, is_null, or_, resolve, to_column
 from ..sources.commit import Change, CommitMetrics
-from ..sources.scan import FILE, ROW, TimeTravel, plan, read_files
+from ..sources.scan import FILE, ROW, TimeTravel, plan, read_table
 from ..sources.writer import project, projection
 from .command import Command, values_filter
 
@@ -178,9 +178,9 @@ class _Merge(Command):
 
     def _merged(self, where: Predicate, candidate: Column | None, source: DataFrame, fields: list[T.StructField], always: bool, stage, finish, scanned: Predicate, before=None) -> CommitMetrics | None:
         base = self._base()
-        spark, schema = self.engine.spark, self.table.schema
+        schema = self.table.schema
         got = plan(self.table, scanned, TimeTravel(snapshot=base.id) if base else None)
-        target = read_files(spark, schema, [f.path for f in got.files], file_columns=True)
+        target = read_table(self.table, [f.path for f in got.files], file_columns=True)
         if before:
             before(target)
         if not got.files:
@@ -201,7 +201,7 @@ class _Merge(Command):
         new = changes.where(F.col(OP).isin("I", "U")).select(*[F.col(f"`{f.name}`") for f in fields])
         parts = [finish(new, None)]
         if touched:
-            old = read_files(spark, schema, [f.path for f in touched], file_columns=True)
+            old = read_table(self.table, [f.path for f in touched], file_columns=True)
             marks = hits.select(F.col(S_FILE).alias(FILE), F.col(S_ROW).alias(ROW))
             kept = old.join(marks, [FILE, ROW], "left_anti").drop(FILE, ROW)
             parts.append(kept)

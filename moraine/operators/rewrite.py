@@ -11,7 +11,7 @@ from ..plans.predicates import Predicate, resolve, to_column
 from ..plans.pruning import Pruner
 from ..sources.commit import Change, CommitMetrics
 from ..sources.metadata import DataFile
-from ..sources.scan import FILE, TimeTravel, plan, read_files
+from ..sources.scan import FILE, TimeTravel, plan, read_table
 from .command import Command
 
 
@@ -39,7 +39,7 @@ class _Rewrite(Command):
         sure = {f.path for f in whole}
         rest = [f for f in got.files if f.path not in sure]
         if rest:
-            rows = read_files(self.engine.spark, self.table.schema, [f.path for f in rest], file_columns=True)
+            rows = read_table(self.table, [f.path for f in rest], file_columns=True)
             hit = {r[0] for r in rows.where(to_column(p, self.table.schema)).select(FILE).distinct().collect()}
             rest = [f for f in rest if f.path in hit]
         return whole, rest, p
@@ -56,7 +56,7 @@ class Delete(_Rewrite):
             return self._finish(None)
         added = []
         if some:
-            rows = read_files(self.engine.spark, self.table.schema, [f.path for f in some])
+            rows = read_table(self.table, [f.path for f in some])
             added = self._write(rows.where(~F.coalesce(to_column(p, self.table.schema), F.lit(False))))
         base = self._base()
         return self._finish(Change(added, whole + some, base.id if base else None, self._condition, self._level()))
@@ -85,7 +85,7 @@ class Update(_Rewrite):
         files = whole + some
         if not files:
             return self._finish(None)
-        rows = read_files(self.engine.spark, self.table.schema, [f.path for f in files])
+        rows = read_table(self.table, [f.path for f in files])
         hit = to_column(p, self.table.schema)
         kinds = {f.name: f.dataType for f in self.table.schema}
         new = rows.select(*[F.when(hit, literal(self._sets[n], kinds[n])).otherwise(F.col(f"`{n}`")).alias(n) if n in self._sets else F.col(f"`{n}`") for n in rows.columns])

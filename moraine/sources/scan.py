@@ -15,7 +15,7 @@ from ..errors import check
 from ..functions.types import ID, parse_timestamp
 from ..plans.predicates import TRUE, Predicate, resolve, to_column
 from ..plans.pruning import Pruner
-from .metadata import MAIN, DataFile, Files, Metadata, Snapshot, Table
+from .metadata import MAIN, DataFile, Metadata, Snapshot, Table
 
 #: Columns with a row's file and its place there.
 FILE, ROW = "filename", "file_row_number"
@@ -104,21 +104,60 @@ def plan(table: Table, condition: Predicate = TRUE, travel: TimeTravel | None =
     return Plan(table, snapshot, Pruner(schema or table.schema, table.meta.specs).select(p, files), p)
 
 
-def read_files(spark: SparkSession, schema: T.StructType, paths: list[str], file_columns: bool = False) -> DataFrame:
-    """Columns by field id, so files of any older schema fit. No files make an empty frame of that schema."""
+def reuses_names(schemas: list[T.StructType]) -> bool:
+    """Whether a name has stood for different fields of the same parent."""
+    seen: dict[tuple, int] = {}
+
+    def go(kind: T.DataType, parent: object) -> bool:
+        if isinstance(kind, T.StructType):
+            return any(seen.setdefault((parent, f.name.lower()), f.metadata.get(ID)) != f.metadata.get(ID) or go(f.dataType, f.metadata.get(ID)) for f in kind)
+        if isinstance(kind, T.ArrayType):
+            return go(kind.elementType, (parent, "element"))
+        return isinstance(kind, T.MapType) and (go(kind.keyType, (parent, "key")) or go(kind.valueType, (parent, "value")))
+
+    return any(go(s, None) for s in schemas)
+
+
+def by_number(schema: T.StructType) -> T.StructType:
+    """The schema with fields named by their ids, which no file's names meet."""
+
+    def go(kind: T.DataType) -> T.DataType:
+        if isinstance(kind, T.StructType):
+            return T.StructType([T.StructField(f"_field_{f.metadata[ID]}", go(f.dataType), True, f.metadata) for f in kind])
+        if isinstance(kind, T.ArrayType):
+            return T.ArrayType(go(kind.elementType), True)
+        if isinstance(kind, T.MapType):
+            return T.MapType(go(kind.keyType), go(kind.valueType), True)
+        return kind
+
+    return go(schema)
+
+
+def read_files(spark: SparkSession, schema: T.StructType, paths: list[str], file_columns: bool = False, numbered: bool = False) -> DataFrame:
+    """Columns by field id, so files of any older schema fit. No files make an empty frame of that schema.
+
+    numbered: read under names by id, for tables that have reused names.
+    """
     wanted = as_read(schema)
     extra = [F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW)] if file_columns else []
     if not paths:
         empty = T.StructType([*wanted, *([T.StructField(FILE, T.StringType()), T.StructField(ROW, T.LongType())] if file_columns else [])])
         return spark.createDataFrame([], empty)
-    df = spark.read.schema(wanted).option("mergeSchema", "false").parquet(*paths)
+    names = by_number(wanted) if numbered else wanted
+    df = spark.read.schema(names).option("mergeSchema", "false").parquet(*paths)
     # names are quoted, and metadata columns are taken before any other step
-    df = df.select(*[F.col(f"`{f.name}`") for f in wanted], *extra)
+    same = lambda a, b: F.col(f"`{a.name}`") if a.dataType == b.dataType else F.col(f"`{a.name}`").cast(b.dataType)
+    df = df.select(*[same(a, b).alias(b.name) for a, b in zip(names, wanted)], *extra)
     if file_columns:
         df = df.withColumn(FILE, plain_path(F.col(FILE)))
     return df
 
 
+def read_table(table: Table, paths: list[str], file_columns: bool = False) -> DataFrame:
+    """Some files of a table, as rows of its current schema."""
+    return read_files(table.catalog.spark, table.schema, paths, file_columns, reuses_names(list(table.meta.schemas.values())))
+
+
 def plain_path(c: Column) -> Column:
     """``_metadata.file_path`` as manifests spell local paths."""
     return F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
@@ -135,7 +174,7 @@ def scan(table: Table, condition: Predicate = TRUE, travel: TimeTravel | None =
     check(max_bytes is None or got.size <= max_bytes, "Total file size per scan exceeds limit (%s MiB)", (max_bytes or 0) >> 20)
     if collector:
         collector("scan", {"table": table.name, "snapshot": got.snapshot.id if got.snapshot else None, "files": len(got.files), "bytes": got.size, "predicate": str(got.predicate)})
-    df = read_files(table.catalog.spark, table.schema, [f.path for f in got.files], file_columns)
+    df = read_table(table, [f.path for f in got.files], file_columns)
     return (df if got.predicate == TRUE else df.where(to_column(got.predicate, table.schema))), got
 
 
@@ -156,7 +195,3 @@ def read_parquet(spark: SparkSession, paths: list[str], columns: list[str] | Non
     df = reader.parquet(*paths)
     extra = [plain_path(F.col("_metadata.file_path")).alias(FILE), F.col("_metadata.row_index").alias(ROW)] if file_columns else []
     return df.select(*[F.col(f"`{c}`") for c in columns or df.columns], *extra)
-
-
-def local_name(files: Files, path: str) -> str:
-    return files.local(path) or path
