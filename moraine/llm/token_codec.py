@@ -182,13 +182,15 @@ class Encoder(dict):
     def __missing__(self, part: bytes) -> bytes:
         ids = self.old.get(part)
         if ids is None:
-            plain = self.PLAIN.fullmatch(part.decode("utf-8", "replace"))
+            text = part.decode("utf-8", "replace")
+            plain = self.PLAIN.fullmatch(text)
             if plain and plain[2]:
                 ids = self[plain[1].encode()] + self[plain[2].encode()]
             elif plain:
-                ids = np.array([t.id for t in self.model.tokenize(part.decode("latin-1").translate(self.spelling))], "<u4").tobytes()
+                spelled = text if text.isascii() else part.decode("latin-1").translate(self.spelling)
+                ids = struct.pack(f"<{len(got := self.model.tokenize(spelled))}I", *[t.id for t in got])
             else:
-                ids = np.array(self.tokenizer.encode(part.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+                ids = struct.pack(f"<{len(got := self.tokenizer.encode(text, add_special_tokens=False).ids)}I", *got)
         self[part] = ids
         return ids
 
@@ -224,29 +226,46 @@ def _part(d: DataFrame, n: int) -> Column:
 
 
 def tokenized(docs: DataFrame, path: str, end: int | None, partitions: int | None = None) -> DataFrame:
-    """(part, seq, doc_id, n, ids): in ascending doc_id order over parts and within each.
+    """(part, seq, doc_id, n, ids, counts): in ascending doc_id order over parts and within each.
 
     ids are little-endian uint32. Null ids come first; rows that tie on
-    doc_id are ordered by their text.
+    doc_id are ordered by their text. Each part ends with a row without
+    document, which has how often each id occurs in the part (``counts``,
+    uint64; null in all other rows).
     """
     spark = docs.sparkSession
     d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = d.repartitionById(n, _part(d, n)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
+    def rows(part, seq, doc_id, n, ids, counts) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(seq, pa.int64()), doc_id, pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["part", "seq", "doc_id", "n", "ids", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, seq, encode = TaskContext.get().partitionId(), 0, encoder(path, end)
+        total = np.zeros(0, np.int64)
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 some = b.slice(a, 256)
                 ids = [encode(t) for t in texts(some.column(1))]
                 k = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int32()), pa.array(range(seq, seq + k), pa.int64()), some.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["part", "seq", "doc_id", "n", "ids"])
+                total = added(total, np.bincount(np.frombuffer(b"".join(ids), "<u4")))
+                yield rows([part] * k, range(seq, seq + k), some.column(0), [len(x) // 4 for x in ids], ids, [None] * k)
                 seq += k
+        if seq:
+            yield rows([part], [seq], pa.array([None], pa.int64()), [0], [b""], [total.astype("<u8").tobytes()])
+
+    return d.mapInArrow(run, "part int, seq long, doc_id long, n long, ids binary, counts binary")
 
-    return d.mapInArrow(run, "part int, seq long, doc_id long, n long, ids binary")
+
+def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Counts by id, of two lengths maybe."""
+    out = np.zeros(max(len(a), len(b)), np.int64)
+    out[: len(a)] = a
+    out[: len(b)] += b
+    return out
 
 
 def _counts(tokens: DataFrame) -> np.ndarray:
@@ -255,12 +274,12 @@ def _counts(tokens: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            got = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4"))
-            total = np.pad(total, (0, max(0, len(got) - len(total)))) + np.pad(got, (0, max(0, len(total) - len(got))))
+            for x in b.column(0).to_pylist():
+                total = added(total, np.frombuffer(x, "<u8").astype(np.int64))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
-    got = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    got = tokens.select("counts").where("counts is not null").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(int(got["id"].max()) + 1 if len(got) else 1, np.int64)
     out[got["id"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     return out
@@ -295,7 +314,7 @@ def write_corpus(docs: DataFrame, folder: str, path: str, end: int | None = None
             yield block()
 
     # each staged file is one part in order; a split of it is a run of rows, so blocks keep the order
-    blocks = staged.read().select("part", "seq", "doc_id", "ids").mapInArrow(run, "part int, seq long, n long, block binary")
+    blocks = staged.read().where("counts is null").select("part", "seq", "doc_id", "ids").mapInArrow(run, "part int, seq long, n long, block binary")
     blocks.write.option("compression", "none").parquet(f"{folder}/blocks")
     staged.drop()
     spark = docs.sparkSession
