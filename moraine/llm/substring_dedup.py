@@ -38,7 +38,7 @@ from .common import Staged, pick, texts
 WIDTH, K = 100, 40
 SPAN = WIDTH - K + 1
 #: Texts are parsed in pieces of this many bytes, which bounds the arrays.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Base of the rolling hash, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C55
 #: From so many distinct phrases on, a key's windows are dealt out by their own hash.
@@ -46,7 +46,7 @@ WIDE = 20_000
 #: Phrases in a bucket, about; a phrase begins every 31 bytes.
 IN_BUCKET = 400_000
 #: Pieces that are parsed before their phrases go on.
-AT_ONCE = 12
+AT_ONCE = 16
 FIRST_ID = -(1 << 63)
 START_BITS, RUN_BITS, SUB_BITS = 32, 7, 24
 PHRASE = np.dtype([("key", "<u8"), ("unit", "<u8"), ("doc", "<i8"), ("loc", "<u8")])
@@ -330,8 +330,8 @@ def _windows(roller: Roller, doc: np.ndarray, loc: np.ndarray, cut: list[bytes])
     out = []
     lengths = np.array([len(c) for c in cut], np.int64)
     ends = np.cumsum(lengths)
-    for a in range(0, len(cut), 4096):
-        z = min(a + 4096, len(cut))
+    for a in range(0, len(cut), 2048):
+        z = min(a + 2048, len(cut))
         data = np.frombuffer(b"".join(cut[a:z]), np.uint8)
         sums = roller.sums(data)
         runs = lengths[a:z] - WIDTH + 1
@@ -346,6 +346,17 @@ def _windows(roller: Roller, doc: np.ndarray, loc: np.ndarray, cut: list[bytes])
     return np.concatenate(out) if out else np.zeros(0, WINDOW)
 
 
+RUNS = "doc long, sub long, at binary"
+
+
+def _by_document(r: np.ndarray) -> pa.RecordBatch:
+    """(doc, sub, at): begins of repeated windows, as packed runs (start, n)."""
+    r = r[np.lexsort((r["start"], r["sub"], r["doc"]))]
+    edge = np.flatnonzero(np.concatenate([[True], (r["doc"][1:] != r["doc"][:-1]) | (r["sub"][1:] != r["sub"][:-1]), [True]])) if len(r) else np.zeros(1, np.int64)
+    runs = np.stack([r["start"], r["n"]], axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(r["doc"][edge[:-1]]), pa.array(r["sub"][edge[:-1]]), pa.array([runs[a:z].astype("<u4").tobytes() for a, z in zip(edge[:-1], edge[1:])], pa.binary())], names=["doc", "sub", "at"])
+
+
 def _by_window(fetched: DataFrame) -> DataFrame:
     """Repeats among the windows of ambiguous phrases."""
 
@@ -359,33 +370,29 @@ def _by_window(fetched: DataFrame) -> DataFrame:
                 cut = [blob[a:z] for a, z in zip([8 + 16 * n, *ends[:-1].tolist()], ends.tolist())]
                 parts.append(_windows(roller, head["doc"], head["loc"], cut))
         w = np.concatenate(parts)
-        w = w[np.lexsort((w["at"], w["doc"], w["hash"]))]
+        del parts
+        order = np.lexsort((w["at"], w["doc"], w["hash"]))
         again = np.zeros(0, REPEAT)
         if len(w):
-            new = np.concatenate([[True], w["hash"][1:] != w["hash"][:-1]])
-            first = w[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            w = w[(w["doc"] != first["doc"]) | (w["at"] != first["at"])]
+            h = w["hash"][order]
+            new = np.concatenate([[True], h[1:] != h[:-1]])
+            first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+            w = w[order[(w["doc"][order] != w["doc"][first]) | (w["at"][order] != w["at"][first])]]
             again = np.zeros(len(w), REPEAT)
             again["doc"], again["sub"] = w["doc"], (w["at"] >> np.uint64(START_BITS)).astype(np.int64)
             again["start"], again["n"] = (w["at"] & np.uint64((1 << START_BITS) - 1)).astype(np.int64), 1
             again = joined_runs(np.unique(again))
-        return pa.Table.from_batches(_rows(REPEATS, np.zeros(len(again), np.int64), again), schema=_ARROW)
+        return pa.Table.from_batches([_by_document(again)])
 
-    return fetched.groupBy("bucket").applyInArrow(run, PACKED)
+    return fetched.groupBy("bucket").applyInArrow(run, RUNS)
 
 
 def _repeats(packed: DataFrame) -> DataFrame:
-    """(doc, sub, at): begins of repeated windows, as packed runs (start, n)."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            r = np.frombuffer(b"".join(b.column(0).to_pylist()), REPEAT)
-            r = r[np.lexsort((r["start"], r["sub"], r["doc"]))]
-            edge = np.flatnonzero(np.concatenate([[True], (r["doc"][1:] != r["doc"][:-1]) | (r["sub"][1:] != r["sub"][:-1]), [True]])) if len(r) else np.zeros(1, np.int64)
-            runs = np.stack([r["start"], r["n"]], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(r["doc"][edge[:-1]]), pa.array(r["sub"][edge[:-1]]), pa.array([runs[a:z].astype("<u4").tobytes() for a, z in zip(edge[:-1], edge[1:])], pa.binary())], names=["doc", "sub", "at"])
+            yield _by_document(np.frombuffer(b"".join(b.column(0).to_pylist()), REPEAT))
 
-    return packed.where(F.col("kind") == REPEATS).select("blob").mapInArrow(run, "doc long, sub long, at binary")
+    return packed.where(F.col("kind") == REPEATS).select("blob").mapInArrow(run, RUNS)
 
 
 def spans(runs: list[bytes], length: int) -> list[tuple[int, int]]:
@@ -418,7 +425,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     n_buckets = max(1, size // (31 * IN_BUCKET) + 1)
     found = Staged(_by_key(_parsed(keyed, n_buckets), n_buckets))
     fetched = _fetched(keyed, _unpacked(found.read(), (PHRASES, WIDE_ONES)), n_buckets)
-    again = _repeats(found.read()).unionByName(_repeats(_by_window(fetched)))
+    again = _repeats(found.read()).unionByName(_by_window(fetched))
     again = again.groupBy("doc", "sub").agg(F.collect_list("at").alias("runs"))
     both = d.withColumn("doc", F.coalesce("doc_id", F.lit(FIRST_ID))).withColumn("sub", sub).join(again, ["doc", "sub"], "left").select("doc_id", "text", "runs")
     return both
