@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -148,15 +149,13 @@ class Engine:
             df = self.sql(text, args, **options)
             if not limit:
                 return df.collect()
-            import uuid
-
             tag, late = f"lake-{uuid.uuid4().hex}", threading.Event()
 
             def stop() -> None:
                 late.set()
-                self.spark.interruptTag(tag)
+                self.spark.sparkContext.cancelJobsWithTag(tag)
 
-            self.spark.addTag(tag)
+            self.spark.sparkContext.addJobTag(tag)
             timer = threading.Timer(limit, stop)
             timer.start()
             try:
@@ -167,7 +166,7 @@ class Engine:
                 raise
             finally:
                 timer.cancel()
-                self.spark.removeTag(tag)
+                self.spark.sparkContext.removeJobTag(tag)
 
     def statement(self, name: str, parameters: dict | None = None, **options) -> DataFrame:
         """A named SQL template."""

@@ -29,10 +29,14 @@ ALIASES = {
     "double": ("float8",),
     "string": ("varchar", "char", "text", "bpchar", "uuid"),
     "timestamp_ntz": ("timestamp", "datetime"),
-    "timestamp": ("timestamptz", "timestamp with time zone"),
+    "timestamp_ltz": ("timestamptz", "timestamp with time zone"),
     "binary": ("blob", "bytea", "varbinary"),
 }
 _NAMES = {alias: name for name, aliases in ALIASES.items() for alias in aliases}
+_PLAIN = {
+    "boolean": T.BooleanType(), "tinyint": T.ByteType(), "smallint": T.ShortType(), "int": T.IntegerType(), "bigint": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "string": T.StringType(),
+    "binary": T.BinaryType(), "date": T.DateType(), "time": T.TimeType(6), "timestamp_ntz": T.TimestampNTZType(), "timestamp_ltz": T.TimestampType(),
+}
 
 
 def type_of(name: str) -> T.DataType:
@@ -42,12 +46,8 @@ def type_of(name: str) -> T.DataType:
         return T.DecimalType(int(m[1] or 18), int(m[2] or (0 if m[1] else 3)))
     plain = re.sub(r"^(varchar|char)\(\d+\)$", "string", plain)
     plain = _NAMES.get(plain, plain)
-    if plain == "time":
-        return T.TimeType(6)
-    try:
-        return T.StructType.fromDDL(f"x {plain}")[0].dataType
-    except Exception as e:
-        raise ValidationError(f"Unknown type {name}") from e
+    check(plain in _PLAIN, "Unknown type %s", name)
+    return _PLAIN[plain]
 
 
 def with_ids(schema: T.StructType, next_id: Callable[[], int] | None = None) -> T.StructType:
