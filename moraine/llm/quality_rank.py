@@ -51,7 +51,7 @@ class Ranker:
     """Weights of the standardised features and their squares, with the threshold."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, pairs: int = 200_000, ridge: float = 3.0, seed: int = 7):
-        self.mean, self.std = x.mean(axis=0), x.std(axis=0) + 1e-9
+        self.mean, self.std = (x.mean(axis=0), x.std(axis=0) + 1e-9) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
         z = self.expand(x)
         good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
         self.weights = np.zeros(z.shape[1])

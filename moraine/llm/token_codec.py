@@ -38,6 +38,8 @@ LANES, CHECK = 1024, 128  # a checkpoint every 131,072 ids
 SCALE = 20  # frequencies sum to 2**SCALE
 LOW = np.uint64(1 << 31)  # states stay in [2**31, 2**63)
 BLOCK_IDS = 524_288
+#: Words in a generation of an encoder's table; two take about 0.1 GB for each half million.
+KEEP = 400_000
 
 
 def frequencies(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
@@ -171,7 +173,7 @@ class Encoder(dict):
 
     PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str, end: int | None, keep: int = 250_000):
+    def __init__(self, path: str, end: int | None, keep: int = KEEP):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -203,9 +205,9 @@ class Encoder(dict):
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, end: int | None) -> Encoder:
+def encoder(path: str, end: int | None, keep: int) -> Encoder:
     """One for each vocabulary and worker; the words it knows serve later tasks."""
-    return Encoder(path, end)
+    return Encoder(path, end, keep)
 
 
 def _part(d: DataFrame, n: int) -> Column:
@@ -225,7 +227,7 @@ def _part(d: DataFrame, n: int) -> Column:
     return F.coalesce(chunk * m + below(F.get(F.lit(chunks), chunk)), F.lit(0))
 
 
-def tokenized(docs: DataFrame, path: str, end: int | None, partitions: int | None = None) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, end: int | None, partitions: int | None = None, keep: int = KEEP) -> DataFrame:
     """(part, seq, doc_id, n, ids, counts): in ascending doc_id order over parts and within each.
 
     ids are little-endian uint32. Null ids come first; rows that tie on
@@ -244,7 +246,7 @@ def tokenized(docs: DataFrame, path: str, end: int | None, partitions: int | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq, encode = TaskContext.get().partitionId(), 0, encoder(path, end)
+        part, seq, encode = TaskContext.get().partitionId(), 0, encoder(path, end, keep)
         total = np.zeros(0, np.int64)
         for b in batches:
             for a in range(0, b.num_rows, 256):
@@ -285,13 +287,13 @@ def _counts(tokens: DataFrame) -> np.ndarray:
     return out
 
 
-def write_corpus(docs: DataFrame, folder: str, path: str, end: int | None = None, block_ids: int = BLOCK_IDS) -> np.ndarray:
+def write_corpus(docs: DataFrame, folder: str, path: str, end: int | None = None, block_ids: int = BLOCK_IDS, keep: int = KEEP) -> np.ndarray:
     """Encode every document, in ascending doc_id order, to blocks in ``folder``; returns the table of frequencies.
 
     Null and empty texts have no ids but the end. A text longer than a block
     makes a block of its own.
     """
-    staged = Staged(tokenized(docs, path, end))
+    staged = Staged(tokenized(docs, path, end, keep=keep))
     freq = frequencies(_counts(staged.read()))
     shared = docs.sparkSession.sparkContext.broadcast(freq)
 
@@ -364,7 +366,7 @@ def new_folder(spark) -> str:
     return f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
 
 
-def encoded(docs: DataFrame, path: str, end: int | None = None, folder: str | None = None) -> DataFrame:
+def encoded(docs: DataFrame, path: str, end: int | None = None, folder: str | None = None, keep: int = KEEP) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, read back from the files.
 
     Repeated rows and null ids are documents like any other. An empty table
@@ -372,5 +374,5 @@ def encoded(docs: DataFrame, path: str, end: int | None = None, folder: str | No
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark)
-    write_corpus(docs, folder, path, end)
+    write_corpus(docs, folder, path, end, keep=keep)
     return read_corpus(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
