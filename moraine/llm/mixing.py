@@ -110,8 +110,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     plan = durable(sources.join(takes, "sid", "left").withColumn("length", F.least(F.coalesce("n", F.lit(0)) * block, F.round("target").cast("long"))).drop("n"))
 
     d = sizes.join(small(plan, FEW_SOURCES), sizes["source"].eqNullSafe(plan["source"])).select("doc_id", sizes["source"], "size", "sid", "source_size", "target", "length")
-    mark = F.xxhash64("doc_id", F.lit(seed))
-    d = d.withColumn("mark", mark).withColumn("bucket", F.pmod(F.xxhash64("mark"), F.lit(buckets)))
+    mark = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+    # the mark's first 32 bits in equal ranges, so buckets follow the order of marks
+    bucket = F.shiftright(F.conv(F.substring("mark", 1, 8), 16, 10).cast("long") * buckets, 32)
+    d = d.withColumn("mark", mark).withColumn("bucket", bucket)
     inside = Window.partitionBy("sid", "bucket").orderBy("mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = d.groupBy("sid", "bucket").agg(F.sum("size").alias("n")).select("sid", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
