@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.transforms import Transform
 from ..plans import predicates as P
+from ..plans.joins import asof_join, positional_join
 from .base import Query, sources
 
 
@@ -90,12 +91,15 @@ def _union_by_name(e, d):
 
 
 def _asof(e, d):
-    """For each order the customer's last event of kind purchase at or before it: a union and a window, no range join."""
-    w = "OVER (PARTITION BY k ORDER BY t, side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    return e.sql(f"""WITH u AS (
-        SELECT user_id AS k, ts AS t, 0 AS side, CAST(NULL AS BIGINT) AS event_id0, value AS v FROM db.events WHERE event_type = 'purchase'
-        UNION ALL SELECT user_id, ts, 1, event_id, CAST(NULL AS DOUBLE) FROM db.events WHERE event_type = 'click')
-        SELECT event_id0 AS event_id, last_v FROM (SELECT *, LAST_VALUE(v) IGNORE NULLS {w} AS last_v FROM u) WHERE side = 1""")
+    """For each click the user's last purchase at or before it."""
+    clicks = e.sql("SELECT event_id, user_id, ts FROM db.events WHERE event_type = 'click'")
+    bought = e.sql("SELECT user_id, ts AS at, value AS last_v FROM db.events WHERE event_type = 'purchase'")
+    return asof_join(clicks, bought, ["user_id"], "ts", "at").select("event_id", "last_v")
+
+
+def _positional(e, d):
+    a, b = e.sql("SELECT c_custkey FROM db.customer"), e.sql("SELECT o_orderkey FROM db.orders WHERE o_orderkey >= 0 AND o_custkey < 1000")
+    return positional_join(a, b, ["c_custkey"], ["o_orderkey"])
 
 
 def _templates(e, d):
@@ -169,6 +173,7 @@ READS = [
     _same("join_range", ("nation", "part"), "SELECT n.n_nationkey, COUNT(*) AS parts FROM db.nation n JOIN db.part p ON p.p_size BETWEEN n.n_nationkey AND n.n_nationkey + 2 GROUP BY n.n_nationkey"),
     _same("join_using_cross", ("nation", "region"), "SELECT a.n_name, r.r_name, (a.n_regionkey = r.r_regionkey) AS home FROM db.nation a CROSS JOIN db.region r"),
     Query("join_asof", "SELECT a.event_id, (SELECT arg_max(b.value, b.ts) FROM events b WHERE b.event_type = 'purchase' AND b.user_id = a.user_id AND b.ts <= a.ts) AS last_v FROM events a WHERE a.event_type = 'click'", E, make=_asof),
+    Query("join_positional", "SELECT c_custkey, o_orderkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS n FROM customer) FULL JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders WHERE o_custkey < 1000) USING (n)", C + O, make=_positional),
     Query("join_filter_table", "SELECT o.o_orderkey, w.status FROM orders o JOIN (VALUES (TIMESTAMP '1995-01-01', 'F'), (TIMESTAMP '1996-06-01', 'O')) w(day, status) ON o.o_orderdate >= w.day AND o.o_orderstatus = w.status", O, make=_filter_table),
     _same("join_lake_subqueries", O + L, f"SELECT o.o_orderpriority, {_money('l.l_quantity')} AS qty FROM (SELECT * FROM db.orders WHERE o_orderdate >= TIMESTAMP '1997-01-01 00:00:00') o JOIN (SELECT * FROM db.lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01 00:00:00') l ON o.o_orderkey = l.l_orderkey GROUP BY o.o_orderpriority"),
     _same("agg_having", O, "SELECT o_custkey, COUNT(*) AS n, MAX(o_totalprice) AS top FROM db.orders GROUP BY o_custkey HAVING COUNT(*) > 10"),

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..errors import check
 from ..functions.types import ID, parse_timestamp
-from ..plans.predicates import TRUE, Predicate, resolve, to_column
+from ..plans.predicates import TRUE, Predicate, and_, equal, is_null, or_, resolve, to_column
 from ..plans.pruning import Pruner
 from .metadata import MAIN, DataFile, Metadata, Snapshot, Table
 
@@ -178,6 +178,20 @@ def scan(table: Table, condition: Predicate = TRUE, travel: TimeTravel | None =
     return (df if got.predicate == TRUE else df.where(to_column(got.predicate, table.schema))), got
 
 
+def partition_predicate(table: Table, spec_id: int, partitions: list[dict]) -> Predicate:
+    """Rows of some partitions, each given as values by the names of the spec's fields. Null means null."""
+    by_id = {f.metadata[ID]: f.name for f in table.schema}
+    out = or_()
+    for values in partitions:
+        tests = []
+        for p in table.meta.specs[spec_id].fields:
+            check(p.name in values, "Partition field %s is missing", p.name)
+            term = by_id[p.source_id] if p.transform.name == "identity" else (by_id[p.source_id], p.transform)
+            tests.append(is_null(by_id[p.source_id]) if values[p.name] is None else equal(term, values[p.name]))
+        out = or_(out, and_(*tests))
+    return out
+
+
 def partition_counts(table: Table, condition: Predicate = TRUE, travel: TimeTravel | None = None) -> list[tuple[int, dict, int]]:
     """(spec id, partition, rows) by metadata alone, for partitions whose files the condition may match."""
     total: dict[tuple, int] = defaultdict(int)

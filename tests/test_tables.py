@@ -267,3 +267,25 @@ def test_stream_of_changes(spark, tmp_path):
         merge_stream(e, stream, "db.t", "q", command, latest=(["id"], "at")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert rows(e.sql("SELECT * FROM db.t")) == [(1, "b"), (2, "c")]
     assert len(e.table("db.t").meta.snapshots) == 1
+
+
+def test_partition_predicates(spark, tmp_path):
+    from moraine.sources.scan import partition_predicate
+
+    e = engine(spark, tmp_path)
+    t = e.create_table("db.t", "id BIGINT, d DATE", ["month(d)", "bucket(2, id)"])
+    e.insert_into("db.t").sql("SELECT id, DATE_ADD(DATE '2024-01-01', CAST(id * 9 AS INT)) AS d FROM RANGE(20) UNION ALL SELECT NULL, NULL").execute()
+    for spec, values_, n in e.partition_counts("db.t"):
+        p = partition_predicate(t.refresh(), spec, [values_])
+        assert e.read("db.t", p).count() == n
+        assert sum(c for *_, c in e.partition_counts("db.t", p)) == n
+
+
+def test_asof_join(spark):
+    from moraine.plans.joins import asof_join
+
+    a = spark.createDataFrame([("x", 1, 0), ("x", 5, 1), ("y", 3, 2), ("z", 3, 3), (None, 3, 4), ("x", None, 5)], "k string, t int, v int")
+    b = spark.createDataFrame([("x", 2, 20), ("x", 5, 50), ("y", 4, 40), (None, 1, 10), ("x", None, 99)], "k string, t int, w int")
+    got = asof_join(a, b, ["k"], "t", "t")
+    assert got.columns == ["k", "t", "v", "t_right", "w"]
+    assert {r.v: r.w for r in got.collect()} == {0: None, 1: 50, 2: None, 3: None, 4: None, 5: None}
