@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -179,25 +181,38 @@ class Encoder(dict):
         super().__init__()
         self.tokenizer, self.keep, self.old = Tokenizer.from_file(path), keep, {}
         self.model, self.spelling = self.tokenizer.model, dict(enumerate(byte_letters()))
-        self.tail = b"" if end is None else np.array([end], "<u4").tobytes()
+        most = max(self.tokenizer.get_vocab_size(), 1 + (end or 0))
+        self.width, self.code = (2, "H") if most <= 1 << 16 else (4, "I")
+        self.tail = b"" if end is None else self._packed([end])
 
     def __missing__(self, part: bytes) -> bytes:
         ids = self.old.get(part)
         if ids is None:
-            text = part.decode("utf-8", "replace")
-            plain = self.PLAIN.fullmatch(text)
-            if plain and plain[2]:
-                ids = self[plain[1].encode()] + self[plain[2].encode()]
-            elif plain:
-                spelled = text if text.isascii() else part.decode("latin-1").translate(self.spelling)
-                ids = struct.pack(f"<{len(got := self.model.tokenize(spelled))}I", *[t.id for t in got])
-            else:
-                ids = struct.pack(f"<{len(got := self.tokenizer.encode(text, add_special_tokens=False).ids)}I", *got)
+            ids = self._new(part)
         self[part] = ids
         return ids
 
+    def _new(self, part: bytes) -> bytes:
+        if part.isalpha():  # ASCII
+            return self._packed([t.id for t in self.model.tokenize(part.decode())])
+        if part[-1] in b".," and part[:-1].isalpha():
+            return self[part[:-1]] + self[part[-1:]]
+        text = part.decode("utf-8", "replace")
+        plain = self.PLAIN.fullmatch(text)
+        if plain and plain[2]:
+            return self[plain[1].encode()] + self[plain[2].encode()]
+        if plain:
+            return self._packed([t.id for t in self.model.tokenize(part.decode("latin-1").translate(self.spelling))])
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
     def __call__(self, text: bytes) -> bytes:
-        """Little-endian uint32 ids of one text."""
+        """A text's ids, little endian, in ``width`` bytes each."""
         if len(self) > self.keep:
             self.old = dict(self)
             self.clear()
@@ -230,7 +245,7 @@ def _part(d: DataFrame, n: int) -> Column:
 def tokenized(docs: DataFrame, path: str, end: int | None, partitions: int | None = None, keep: int = KEEP) -> DataFrame:
     """(part, seq, doc_id, n, ids, counts): in ascending doc_id order over parts and within each.
 
-    ids are little-endian uint32. Null ids come first; rows that tie on
+    ids are little-endian, in n equal parts of two or four bytes (``ids_of``). Null ids come first; rows that tie on
     doc_id are ordered by their text. Each part ends with a row without
     document, which has how often each id occurs in the part (``counts``,
     uint64; null in all other rows).
@@ -253,8 +268,8 @@ def tokenized(docs: DataFrame, path: str, end: int | None, partitions: int | Non
                 some = b.slice(a, 256)
                 ids = [encode(t) for t in texts(some.column(1))]
                 k = len(ids)
-                total = added(total, np.bincount(np.frombuffer(b"".join(ids), "<u4")))
-                yield rows([part] * k, range(seq, seq + k), some.column(0), [len(x) // 4 for x in ids], ids, [None] * k)
+                total = added(total, np.bincount(np.frombuffer(b"".join(ids), f"<u{encode.width}")))
+                yield rows([part] * k, range(seq, seq + k), some.column(0), [len(x) // encode.width for x in ids], ids, [None] * k)
                 seq += k
         if seq:
             yield rows([part], [seq], pa.array([None], pa.int64()), [0], [b""], [total.astype("<u8").tobytes()])
@@ -262,6 +277,11 @@ def tokenized(docs: DataFrame, path: str, end: int | None, partitions: int | Non
     return d.mapInArrow(run, "part int, seq long, doc_id long, n long, ids binary, counts binary")
 
 
+def ids_of(packed: bytes, n: int) -> np.ndarray:
+    """n ids as uint32."""
+    return np.frombuffer(packed, "<u2" if len(packed) == 2 * n else "<u4").astype(np.uint32)
+
+
 def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Counts by id, of two lengths maybe."""
     out = np.zeros(max(len(a), len(b)), np.int64)
@@ -304,19 +324,19 @@ def write_corpus(docs: DataFrame, folder: str, path: str, end: int | None = None
             return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), pa.array([size], pa.int64()), pa.array([pack(coder, waiting)], pa.binary())], names=["part", "seq", "n", "block"])
 
         for b in batches:
-            for part, seq, i, x in zip(*(b.column(k).to_pylist() for k in range(4))):
-                if waiting and (part != key[0] or size + len(x) // 4 > block_ids):
+            for part, seq, i, n, x in zip(*(b.column(k).to_pylist() for k in range(5))):
+                if waiting and (part != key[0] or size + n > block_ids):
                     yield block()
                     waiting, size = [], 0
                 if not waiting:
                     key = part, seq
-                waiting.append((i, np.frombuffer(x, "<u4")))
-                size += len(x) // 4
+                waiting.append((i, ids_of(x, n)))
+                size += n
         if waiting:
             yield block()
 
     # each staged file is one part in order; a split of it is a run of rows, so blocks keep the order
-    blocks = staged.read().where("counts is null").select("part", "seq", "doc_id", "ids").mapInArrow(run, "part int, seq long, n long, block binary")
+    blocks = staged.read().where("counts is null").select("part", "seq", "doc_id", "n", "ids").mapInArrow(run, "part int, seq long, n long, block binary")
     blocks.write.option("compression", "none").parquet(f"{folder}/blocks")
     staged.drop()
     spark = docs.sparkSession

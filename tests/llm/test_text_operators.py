@@ -261,7 +261,7 @@ def test_counts_as_the_library(counter, libraries, text, chunk):
 @settings(max_examples=800, deadline=None)
 @given(PIECES)
 def test_ids_as_the_library(libraries, text):
-    ids = np.frombuffer(token_codec.encoder(tokenizer_path("word_bpe_49k.json"), 2, 1000)(text.encode()), "<u4").tolist()
+    ids = np.frombuffer(token_codec.encoder(tokenizer_path("word_bpe_49k.json"), 2, 1000)(text.encode()), "<u2").tolist()
     assert ids == [*libraries["word_bpe_49k.json"].encode(text, add_special_tokens=False).ids, 2]
 
 
