@@ -1,8 +1,8 @@
 """Quality rules: base counts, and divergence from language references.
 
 A document's histogram of character classes and its histogram of common words
-are each held against its language's reference by Jensen-Shannon distance
-(base 2, from 0 to 1). A reference is the median share of each bin over all
+are each held against the nearest language's reference by Jensen-Shannon
+distance (base 2, from 0 to 1). A reference is the median share of each bin over all
 documents of that language that pass the base rules and are long enough; a
 median stays put while junk is in the minority. What a short text shows by
 chance is allowed for: a limit falls with the square root of the length, and
@@ -90,11 +90,12 @@ class WordHistogram:
     def __init__(self, lang: str):
         self.at = {w.encode(): i for i, w in enumerate(COMMON[lang].split())}
 
-    def __call__(self, lowered: list[bytes]) -> np.ndarray:
+    def __call__(self, words: list[bytes], total: int) -> np.ndarray:
+        """words: all of a text's, or at least the common ones; total: how many the text has."""
         at, out = self.at, np.zeros(len(self.at) + 1)
-        hits = [at[w] for w in lowered if w in at]
+        hits = [at[w] for w in words if w in at]
         out[:-1] = np.bincount(hits, minlength=len(at)) if hits else 0
-        out[-1] = len(lowered) - len(hits)
+        out[-1] = total - len(hits)
         return out
 
 
@@ -128,7 +129,8 @@ def references(docs: DataFrame, min_words: int = 100) -> dict[str, tuple[np.ndar
         for lang, text in zip(b.column(0).to_pylist(), texts(b.column(1))):
             if lang not in COMMON or len(words := text.split()) < min_words or base_failed(len(words), repeat_words(words)):
                 continue
-            chars, common = char_histogram(text), count[lang](lowered(text))
+            chars, low = char_histogram(text), lowered(text)
+            common = count[lang](low, len(low))
             both = np.zeros(width)
             both[:CLASSES], both[CLASSES : CLASSES + len(common)] = chars / max(1, chars.sum()), common / max(1, common.sum())
             langs.append(lang)
@@ -147,20 +149,21 @@ def references(docs: DataFrame, min_words: int = 100) -> dict[str, tuple[np.ndar
 class Judge:
     """The verdict of the method. Limits are on the distance, by length."""
 
-    def __init__(self, refs: dict, char_limit: float = 0.12, char_slope: float = 4.0, word_limit: float = 0.10, word_slope: float = 2.0, min_chars: int = 200, min_words: int = 50):
+    def __init__(self, refs: dict, char_limit: float = 0.12, char_slope: float = 4.0, word_limit: float = 0.10, word_slope: float = 2.1, min_chars: int = 200, min_words: int = 50):
         self.refs, self.count = refs, {k: WordHistogram(k) for k in refs}
+        self.known = {w for c in self.count.values() for w in c.at}
         self.char_limit, self.char_slope, self.word_limit, self.word_slope = char_limit, char_slope, word_limit, word_slope
         self.min_chars, self.min_words = min_chars, min_words
 
-    def distances(self, text: bytes, lang: str | None) -> tuple[float | None, float | None]:
-        """To the language's reference; to the nearest one if the language has none.
+    def distances(self, text: bytes) -> tuple[float | None, float | None]:
+        """To the nearest reference of any language, for texts may be tagged wrongly.
 
         None where the text is too short for the test, or there is no reference.
         """
         chars, words = char_histogram(text), lowered(text)
-        near = [lang] if lang in self.refs else list(self.refs)
-        c = min((distance(chars, self.refs[k][0]) for k in near), default=None) if chars.sum() >= self.min_chars else None
-        w = min((distance(self.count[k](words), self.refs[k][1]) for k in near), default=None) if len(words) >= self.min_words else None
+        common = [w for w in words if w in self.known]
+        c = min((distance(chars, r[0]) for r in self.refs.values()), default=None) if chars.sum() >= self.min_chars else None
+        w = min((distance(self.count[k](common, len(words)), r[1]) for k, r in self.refs.items()), default=None) if len(words) >= self.min_words else None
         return c, w
 
     def keeps(self, text: bytes, c: float | None, w: float | None) -> bool:
@@ -172,7 +175,7 @@ def judged(docs: DataFrame, **limits) -> DataFrame:
     """One row a document: the base counts, base_failed, both distances, kept.
 
     Null and empty texts have no words, fail the base rules and aren't kept. A
-    null or unknown ``lang`` means the nearest reference. With no reference at
+    null or unknown ``lang`` only keeps a text out of the references. With none at
     all (an empty table) the base rules decide alone. Repeated rows each have
     their own row; other columns are ignored.
     """
@@ -180,32 +183,32 @@ def judged(docs: DataFrame, **limits) -> DataFrame:
 
     def batch(b: pa.RecordBatch) -> dict:
         judge, out = Judge(refs, **limits), {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")}
-        for lang, text in zip(b.column(2).to_pylist(), texts(b.column(1))):
+        for text in texts(b.column(1)):
             row = base(text)
             failed = base_failed(row[0], row[4])
-            c, w = judge.distances(text, lang)
+            c, w = judge.distances(text)
             for k, v in zip(out, (*row, failed, c, w, not failed and judge.keeps(text, c, w))):
                 out[k].append(v)
         return out | {"doc_id": b.column(0)}
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
-    d = pick(docs, "doc_id", "text", "lang")
-    return map_batches(d.select(F.col("doc_id").cast("long"), "text", "lang"), batch, schema)
+    d = pick(docs, "doc_id", "text")
+    return map_batches(d.select(F.col("doc_id").cast("long"), "text"), batch, schema)
 
 
 def kept_documents(docs: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
     refs = references(docs)
-    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+    text = docs.columns.index("text")
 
     def run(batches):
         judge = Judge(refs, **limits)
         for b in batches:
             keep = []
-            for x, t in zip(b.column(lang).to_pylist(), texts(b.column(text))):
+            for t in texts(b.column(text)):
                 words = t.split()
                 ok = not base_failed(len(words), repeat_words(words))
-                keep.append(ok and judge.keeps(t, *judge.distances(t, x)))
+                keep.append(ok and judge.keeps(t, *judge.distances(t)))
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
