@@ -29,18 +29,23 @@ from .components import components
 SEED = 42
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """The 64-bit SimHash of a text's word shingles; 0 if it has no word."""
+def digests(text: bytes, width: int = 3) -> np.ndarray:
+    """Hashes of a text's word shingles, in order; of ``width`` words or fewer that of the whole."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     begins = [0, *ends[: len(words) - width].tolist()]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(begins, (ends[width - 1 :] - 1).tolist())), np.uint64, len(begins))
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(begins, (ends[width - 1 :] - 1).tolist())), np.uint64, len(begins))
+
+
+def fingerprint(text: bytes, width: int = 3) -> int:
+    """The 64-bit SimHash of a text's word shingles; 0 if it has no word."""
+    h = digests(text, width)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65536):
         ones += np.unpackbits(h[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
