@@ -146,7 +146,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 2) -> Data
 def without_near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 2) -> DataFrame:
     """The rows of ``docs`` that stay when of each component only the smallest doc_id does.
 
-    Rows that repeat a doc_id count once. Columns stay as they are.
+    Rows that repeat a doc_id count once, whatever their texts, and so do those
+    without one; ``similar.without_similar`` tells rows apart by text as well.
+    Columns stay as they are.
     """
     kept = near_duplicates(docs, width, threshold).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
     names = docs.columns
