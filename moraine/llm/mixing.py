@@ -6,6 +6,8 @@ source, as long as the source's share of the target. The points
 point is a slot of the mix. A source's r-th slot takes the r-th block of its
 shuffled words. Blocks hold equally many words; the last one of a source may
 be cut at its target. When a source runs out, its stream starts again.
+Points fall evenly, but a source of few blocks may get too few of them, or
+none; such a source has the slots it lacks after the last point.
 
 Every running sum is made in two levels (within buckets, then over the
 buckets' totals), so no source's rows meet in one task.
@@ -24,6 +26,8 @@ STEP, STEP_20 = 0.6180339887498949, 0.607787409740351
 FEW_SOURCES = 50_000
 #: Cells into which the unit interval is cut to find a slot's source.
 CELLS = 4096
+#: A source that lacks more than one part in so many of its target is topped up.
+LACK = 50
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -84,6 +88,21 @@ def schedule(sources: DataFrame, block: int, slots: int) -> DataFrame:
     return ranked.join(chunks, ["sid", "chunk"]).select("slot", "sid", (F.col("first") + F.col("inside")).alias("rank"))
 
 
+def topped_up(ranked: DataFrame, sources: DataFrame, block: int, slots: int) -> DataFrame:
+    """``schedule``'s rows, and behind them those of sources that it leaves too far below their target.
+
+    As with the targets, one row a source passes through one task.
+    """
+    takes = ranked.groupBy("sid").agg((F.max("rank") + 1).alias("n"))
+    goal = F.round("target").cast("long")
+    s = sources.join(takes, "sid", "left").select("sid", F.coalesce("n", F.lit(0)).alias("n"), goal.alias("goal"))
+    s = s.where((F.col("goal") - F.col("n") * block) * LACK > F.col("goal")).withColumn("more", F.ceil(F.col("goal") / block).cast("long") - F.col("n"))
+    before = Window.partitionBy(F.lit(1)).orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("at", F.coalesce(F.sum("more").over(before), F.lit(0)) + slots)
+    s = s.select("sid", "n", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("more") - 1)).alias("k"))
+    return ranked.unionByName(s.select((F.col("at") + F.col("k")).alias("slot"), "sid", (F.col("n") + F.col("k")).alias("rank")))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 42, block: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The mix: what each slot takes from which documents.
 
@@ -95,7 +114,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     Null and empty texts have size 0 and are never taken. A null source is a
     source of its own, last in order. Rows that repeat are documents of their
     own. An empty table gives empty results. Other columns are ignored. The
-    result is a function of the rows and ``seed``.
+    result is a function of the rows and ``seed``. Every source gets its target
+    rounded, or at most one part in LACK less.
 
     block: words in a block; by default 1/512 of a source's mean, from 16 to 4,096.
     """
@@ -105,7 +125,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     block = block or max(16, min(4096, total // (512 * max(1, n_sources))))
     slots = -(-total // block)
     buckets = max(16, rows // 20_000)
-    ranked = durable(schedule(sources, block, slots))
+    ranked = durable(topped_up(durable(schedule(sources, block, slots)), sources, block, slots))
     takes = ranked.groupBy("sid").agg((F.max("rank") + 1).alias("n"))
     plan = durable(sources.join(takes, "sid", "left").withColumn("length", F.least(F.coalesce("n", F.lit(0)) * block, F.round("target").cast("long"))).drop("n"))
 
