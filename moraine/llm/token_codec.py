@@ -40,6 +40,8 @@ LANES, CHECK = 1024, 128  # a checkpoint every 131,072 ids
 SCALE = 20  # frequencies sum to 2**SCALE
 LOW = np.uint64(1 << 31)  # states stay in [2**31, 2**63)
 BLOCK_IDS = 524_288
+#: Input of one part, about, and the most parts: their bounds are literals in the plan.
+PART_BYTES, MOST_PARTS = 256 << 20, 20_000
 #: Words in a generation of an encoder's table; two take about 0.1 GB for each half million.
 KEEP = 400_000
 
@@ -184,6 +186,7 @@ class Encoder(dict):
         most = max(self.tokenizer.get_vocab_size(), 1 + (end or 0))
         self.width, self.code = (2, "H") if most <= 1 << 16 else (4, "I")
         self.tail = b"" if end is None else self._packed([end])
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, part: bytes) -> bytes:
         ids = self.old.get(part)
@@ -216,7 +219,12 @@ class Encoder(dict):
         if len(self) > self.keep:
             self.old = dict(self)
             self.clear()
-        return b"".join(map(self.__getitem__, text.lower().split())) + self.tail
+        low = text.lower()
+        if any(s in low for s in self.special):
+            parts = [p if any(s in x for s in self.special) else x for p, x in zip(text.split(), low.split())]
+        else:
+            parts = low.split()
+        return b"".join(map(self.__getitem__, parts)) + self.tail
 
 
 @lru_cache(maxsize=4)
@@ -225,6 +233,12 @@ def encoder(path: str, end: int | None, keep: int) -> Encoder:
     return Encoder(path, end, keep)
 
 
+def _parts(d: DataFrame) -> int:
+    """The session's number of shuffle partitions, or more where a part would exceed PART_BYTES by the planner's estimate."""
+    size = int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PART_BYTES), MOST_PARTS))
+
+
 def _part(d: DataFrame, n: int) -> Column:
     """Which of n ranges of doc_id a row lies in; nulls in the first.
 
@@ -250,9 +264,8 @@ def tokenized(docs: DataFrame, path: str, end: int | None, partitions: int | Non
     document, which has how often each id occurs in the part (``counts``,
     uint64; null in all other rows).
     """
-    spark = docs.sparkSession
     d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or _parts(d)
     d = d.repartitionById(n, _part(d, n)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def rows(part, seq, doc_id, n, ids, counts) -> pa.RecordBatch:

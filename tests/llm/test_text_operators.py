@@ -236,7 +236,7 @@ def test_components(spark):
 
 # --- tokens ---
 
-PIECES = st.lists(st.sampled_from([*"aeth  \n\t'sdlr123.,;-éßñ日本́\x1c\x85🙂ΣİÉ", "   ", "'ll", "\r\n", "aaaa", "----", "<|endoftext|>", " the", "ing", "\x01", "<|startoftext|>"]), max_size=40).map("".join)
+PIECES = st.lists(st.sampled_from([*"aeth  \n\t'sdlr123.,;-éßñ日本́\x1c\x85🙂ΣİÉ", "   ", "'ll", "\r\n", "aaaa", "----", "<|endoftext|>", " the", "ing", "\x01", "<|startoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "X"]), max_size=40).map("".join)
 
 
 @pytest.fixture(scope="module")
@@ -303,7 +303,7 @@ def test_codec_checkpoints_and_checksums():
 
 
 def test_token_output(spark, libraries):
-    docs = some_docs(70, 2) + [d for d in ODD if d[0] != 3] + [(3, "twice", "a", "en")]
+    docs = some_docs(70, 2) + [d for d in ODD if d[0] != 3] + [(3, "twice", "a", "en"), (200, "a <|ENDOFTEXT|> b <|endoftext|>X <|EndOfText|>", "a", "en")]
     got = sorted(token_codec.encoded(frame(spark, docs), tokenizer_path("word_bpe_49k.json"), 2).collect(), key=lambda r: r.start)
     at = 0
     for r, (i, t, *_) in zip(got, sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] or "")), strict=True):
