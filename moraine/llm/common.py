@@ -78,6 +78,14 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of a table with a ``text`` column: the planner's estimate from the files' sizes, else the texts' length."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 60:
+        return size
+    return df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Staged, durable, pick, shared_folder, texts
+from .common import Staged, durable, input_bytes, pick, shared_folder, texts
 from .token_count import byte_letters
 
 MAGIC = b"MRN1"
@@ -234,9 +234,8 @@ def encoder(path: str, end: int | None, keep: int) -> Encoder:
 
 
 def _parts(d: DataFrame) -> int:
-    """The session's number of shuffle partitions, or more where a part would exceed PART_BYTES by the planner's estimate."""
-    size = int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PART_BYTES), MOST_PARTS))
+    """The session's number of shuffle partitions, or more where a part would exceed PART_BYTES."""
+    return max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-input_bytes(d) // PART_BYTES), MOST_PARTS))
 
 
 def _part(d: DataFrame, n: int) -> Column:
