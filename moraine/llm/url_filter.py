@@ -2,15 +2,17 @@
 
 Names in hosts are split into words by a unigram model and Viterbi search, and
 multinomial naive Bayes scores the words of host and path. The unigram model
-has counts from a corpus of texts, and a list of words usual in URLs. The
-classes are learned from all URLs: those whose host has a word from a list of
-unwanted ones stand for "block", the others for "allow".
+has counts from a corpus of texts. The classes are learned from the URLs for
+which a rule decides: what those have in common with other URLs decides there.
+How many URLs the rules happen to cover says nothing of the others, so both
+classes weigh the same beforehand.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,10 +22,6 @@ from .common import durable, pick, small
 
 #: (verdict, host, path); fixed values of the query's contract.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: Words that mark an unwanted host; fixed values.
-UNWANTED = "ads advert adult bet bets betting casino escort gambling loan loans lottery malware phishing pills poker porn scam sex slots spam track tracker tracking viagra warez xxx".split()
-#: Words usual in URLs; fixed values.
-USUAL = "about account api app archive article blog book buy cart cdn center cheap city click club code community contact daily data deal deals design dev digital docs download example farm feed file files finance food forum free game games gift global group guide health help home hotel house image images info jobs learn life link list live local login mail map market media mobile money music my net network news online open page photo play plus pro product research review sale school search secure security server service shop site social software sport sports static store story studio support system tech test time today top tour trade travel user video web win wiki work world".split()
 LONGEST = 20  # letters of a word
 FEW_WORDS = 200_000
 
@@ -79,16 +77,13 @@ def segmented(labels: DataFrame, corpus: DataFrame) -> DataFrame:
     pieces = durable(runs.select("label", "run", a.alias("a")).select("label", F.explode(F.transform(n, lambda k: F.substr(F.col("run"), F.col("a"), k))).alias("word")).distinct())
     counts = _word_counts(durable(pieces.select("word").distinct()), corpus)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + 10_000
-    usual = max(1.0, total / 10_000)
     candidates = pieces.join(counts, "word").groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("found"))
 
     def split(frames):
         for f in frames:
             out = []
             for label, found in zip(f["label"], f["found"]):
-                log_p = {w: math.log(usual / total) for w in (*USUAL, *UNWANTED)}
-                for x in found if found is not None else ():
-                    log_p[x["word"]] = max(log_p.get(x["word"], -math.inf), math.log(x["n"] / total))
+                log_p = {x["word"]: math.log(x["n"] / total) for x in (found if found is not None else ())}
                 out.append([w for run in _letters(label) for w in segment(run, log_p, total)])
             yield pd.DataFrame({"label": f["label"], "words": out})
 
@@ -99,14 +94,16 @@ def _letters(label: str) -> list[str]:
     return re.findall("[a-z]+", label)
 
 
-def judged(pages: DataFrame, corpus: DataFrame, rules=RULES) -> DataFrame:
+def judged(pages: DataFrame, corpus: DataFrame, rules=RULES, learn: Callable[[Column], Column] | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, block_log_odds) of every row.
 
-    corpus: a table with a ``text`` column, for the unigram model. A null url,
-    or one without ``://``, has empty host and path, fits no rule and is judged
-    by the classes' sizes alone, like any name without words. Repeated rows
-    each have a row; other columns are ignored. Empty tables are fine: without
-    URLs there is no result, and without texts only the usual words are known.
+    corpus: a table with a ``text`` column, for the unigram model. learn: given
+    the host, whether the classes may be learned from it (all by default). A
+    null url, or one without ``://``, has empty host and path and fits no rule.
+    Names without a known word, and all names where no rule decides anything,
+    have odds of 0 and are allowed. Repeated rows each have a row and count
+    each; other columns are ignored. Empty tables are fine: without URLs there
+    is no result, and without texts no word is known to the segmentation.
     """
     p = pick(pages, "page_id", "url")
     host, path = host_and_path(F.col("url"))
@@ -117,16 +114,16 @@ def judged(pages: DataFrame, corpus: DataFrame, rules=RULES) -> DataFrame:
     of_host = key.join(by_label, "label").select("host", "path", "rows", F.explode("words").alias("word"), F.lit(True).alias("in_host"))
     of_path = keys.select("host", "path", "rows", F.explode(F.regexp_extract_all(F.lower("path"), F.lit("[a-z]+"), F.lit(0))).alias("word"), F.lit(False).alias("in_host"))
     tokens = durable(of_host.unionByName(of_path).withColumn("word", F.concat(F.when(F.col("in_host"), "h:").otherwise("p:"), "word")))
-    marked = tokens.groupBy("host", "path").agg(F.max(F.col("word").isin(*("h:" + w for w in UNWANTED)).cast("int")).alias("bad"))
-    classes = keys.join(marked, ["host", "path"], "left").agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("bad") == 1, F.col("rows"))), F.lit(0))).first()
-    n, n_bad = classes
-    prior = math.log((n_bad + 1) / (n - n_bad + 1))
-    each = tokens.join(marked, ["host", "path"]).groupBy("word").agg(F.sum(F.when(F.col("bad") == 1, F.col("rows")).otherwise(0)).alias("b"), F.sum(F.when(F.col("bad") == 0, F.col("rows")).otherwise(0)).alias("a"))
-    each = durable(each)
+    _, decided = rule_for(F.col("host"), F.col("path"), rules)
+    known = tokens.withColumn("by_rule", decided).where("by_rule IS NOT NULL")
+    if learn:
+        known = known.where(learn(F.col("host")))
+    of = lambda verdict: F.coalesce(F.sum(F.when(F.col("by_rule") == verdict, F.col("rows"))), F.lit(0))
+    each = durable(known.groupBy("word").agg(of("block").alias("b"), of("allow").alias("a")))
     b, a, v = each.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("a"), F.lit(0)), F.count("*")).first()
     weights = durable(each.select("word", (F.log((F.col("b") + 1) / F.lit(float(b + v + 1))) - F.log((F.col("a") + 1) / F.lit(float(a + v + 1)))).alias("w")))
     odds = tokens.join(small(weights, FEW_WORDS), "word").groupBy("host", "path").agg(F.sum("w").alias("odds"))
     out = p.join(odds, ["host", "path"], "left")
     rule, by_rule = rule_for(F.col("host"), F.col("path"), rules)
-    score = F.coalesce("odds", F.lit(0.0)) + F.lit(prior)
+    score = F.coalesce("odds", F.lit(0.0))
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(by_rule, F.when(score > 0, "block").otherwise("allow")).alias("verdict"), score.alias("block_log_odds"))
