@@ -14,11 +14,17 @@ equal keys.
 2. By key: of equal phrases the earliest occurrence stays, the others are
    repeats as a whole. Keys with several distinct phrases are ambiguous, for
    those may share some windows and not others.
-3. The bytes of ambiguous phrases are fetched once for each distinct phrase,
-   their windows are sorted (the dictionary's order of suffixes, as far as
-   WIDTH bytes), and all but the earliest of equals are repeats.
+3. The bytes of ambiguous phrases are fetched once for each distinct phrase.
+   They are the part of the dictionary whose suffixes must be told apart: the
+   suffix array of the phrases under one key is made by prefix doubling, as far
+   as WIDTH bytes, and suffixes that agree so far stand in the order in which
+   the parse has them in the corpus. All but the earliest are repeats.
 4. Repeats are gathered by document, and the bytes they cover are removed.
 
+Phrases are named by a rolling hash of 64 bits within their key. They are too
+short for strings on which a polynomial modulo 2**64 is known to fail (those
+have a thousand bytes and more); windows are told apart by their bytes.
+
 Phrases travel as arrays packed by bucket of key, so a row is a few thousand
 of them. Numbers of buckets follow the corpus' size.
 """
@@ -48,10 +54,13 @@ IN_BUCKET = 400_000
 #: Pieces that are parsed before their phrases go on.
 AT_ONCE = 16
 FIRST_ID = -(1 << 63)
-START_BITS, RUN_BITS, SUB_BITS = 32, 7, 24
-PHRASE = np.dtype([("key", "<u8"), ("unit", "<u8"), ("doc", "<i8"), ("loc", "<u8")])
+RUN_BITS = 7
+#: Bytes of phrases whose suffixes are sorted at once, at least; a key's phrases stay together.
+SORTED = 1 << 20
+#: doc and sub are a row's doc_id and a hash of its text; loc is a begin and a number of windows.
+PHRASE = np.dtype([("key", "<u8"), ("unit", "<u8"), ("doc", "<i8"), ("sub", "<i8"), ("loc", "<u8")])
+CONTEXT = np.dtype([("key", "<u8"), ("doc", "<i8"), ("sub", "<i8"), ("loc", "<u8")])
 REPEAT = np.dtype([("doc", "<i8"), ("sub", "<i8"), ("start", "<i8"), ("n", "<i8")])
-WINDOW = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("at", "<u8")])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -122,20 +131,19 @@ class Parser:
         out["key"], out["unit"] = keys[anchor[start]], self.roller.of(sums, start, start + n + WIDTH - 1)
         out["doc"] = np.array([p[0] for p in pieces], np.int64)[own]
         place = np.array([p[2] for p in pieces], np.int64)[own] + start - begins[own]
-        out["loc"] = location(np.array([p[1] for p in pieces], np.int64)[own], place, n)
+        out["sub"], out["loc"] = np.array([p[1] for p in pieces], np.int64)[own], location(place, n)
         return out
 
 
-def location(sub: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    u = lambda x: x.astype(np.uint64)
-    return (u(sub) << np.uint64(START_BITS + RUN_BITS)) | (u(start) << np.uint64(RUN_BITS)) | u(n)
+def location(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return (start.astype(np.uint64) << np.uint64(RUN_BITS)) | n.astype(np.uint64)
 
 
 def repeats_at(phrases: np.ndarray) -> np.ndarray:
     """The windows of whole phrases, with neighbouring runs joined."""
     out = np.zeros(len(phrases), REPEAT)
-    out["doc"] = phrases["doc"]
-    out["sub"], out["start"], out["n"] = (x.astype(np.int64) for x in fields(phrases["loc"]))
+    out["doc"], out["sub"] = phrases["doc"], phrases["sub"]
+    out["start"], out["n"] = fields(phrases["loc"])
     return joined_runs(out)
 
 
@@ -151,12 +159,12 @@ def joined_runs(r: np.ndarray) -> np.ndarray:
 
 def first_of_equals(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(earliest of each (key, unit), sorted by key; all later ones). The same place twice is one."""
-    p = p[np.lexsort((p["loc"], p["doc"], p["unit"], p["key"]))]
+    p = p[np.lexsort((p["loc"], p["sub"], p["doc"], p["unit"], p["key"]))]
     if not len(p):
         return p, p
     new = np.concatenate([[True], (p["key"][1:] != p["key"][:-1]) | (p["unit"][1:] != p["unit"][:-1])])
     first = p[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    later = (p["doc"] != first["doc"]) | (p["loc"] != first["loc"])
+    later = (p["doc"] != first["doc"]) | (p["sub"] != first["sub"]) | (p["loc"] != first["loc"])
     return p[new], p[later]
 
 
@@ -193,7 +201,7 @@ def _rows(kind: int, buckets: np.ndarray, records: np.ndarray, pack=np.ndarray.t
 
 
 PACKED = "kind int, bucket int, blob binary"
-PHRASES, REPEATS, WINDOWS, CONTEXTS, WIDE_ONES = range(5)
+PHRASES, REPEATS, CONTEXTS, WIDE_ONES = range(4)
 
 
 def packed(p: np.ndarray, n_buckets: int) -> bytes:
@@ -202,27 +210,27 @@ def packed(p: np.ndarray, n_buckets: int) -> bytes:
     A key keeps 32 bits beside those that chose the bucket. Keys that fall
     together make an ambiguous one, no wrong result.
     """
-    sub, start, runs = fields(p["loc"])
-    names, own = np.unique(np.stack([p["doc"], sub.astype(np.int64)], axis=1), axis=0, return_inverse=True)
-    columns = [names[:, 0].astype("<i8"), names[:, 1].astype("<u4"), (p["key"] // np.uint64(n_buckets)).astype("<u4"), p["unit"], own.ravel().astype("<u2" if len(names) < 1 << 16 else "<u4"), (start & np.uint64(0xFFFF)).astype("<u2"), (start >> np.uint64(16)).astype("<u2"), runs.astype(np.uint8)]
+    start, runs = fields(p["loc"])
+    names, own = np.unique(np.stack([p["doc"], p["sub"]], axis=1), axis=0, return_inverse=True)
+    columns = [names[:, 0].astype("<i8"), names[:, 1].astype("<i8"), (p["key"] // np.uint64(n_buckets)).astype("<u4"), p["unit"], own.ravel().astype("<u2" if len(names) < 1 << 16 else "<u4"), (start & 0xFFFF).astype("<u2"), (start >> 16).astype("<u2"), runs.astype(np.uint8)]
     return np.array([len(p), len(names)], "<u4").tobytes() + b"".join(c.tobytes() for c in columns)
 
 
 def unpacked(blob: bytes, bucket: int, n_buckets: int) -> np.ndarray:
     n, m = np.frombuffer(blob, "<u4", 2).tolist()
     out, at, columns = np.zeros(n, PHRASE), 8, []
-    for kind, k in (("<i8", m), ("<u4", m), ("<u4", n), ("<u8", n), ("<u2" if m < 1 << 16 else "<u4", n), ("<u2", n), ("<u2", n), ("u1", n)):
+    for kind, k in (("<i8", m), ("<i8", m), ("<u4", n), ("<u8", n), ("<u2" if m < 1 << 16 else "<u4", n), ("<u2", n), ("<u2", n), ("u1", n)):
         columns.append(np.frombuffer(blob, kind, k, at))
         at += k * np.dtype(kind).itemsize
     doc, sub, key, unit, own, low, high, runs = columns
     out["key"], out["unit"], out["doc"] = key.astype(np.uint64) * np.uint64(n_buckets) + np.uint64(bucket), unit, doc[own]
-    out["loc"] = location(sub[own], low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(16)), runs)
+    out["sub"], out["loc"] = sub[own], location(low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(16)), runs)
     return out
 
 
-def fields(loc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """sub, start and number of windows."""
-    return loc >> np.uint64(START_BITS + RUN_BITS), (loc >> np.uint64(RUN_BITS)) & np.uint64((1 << START_BITS) - 1), loc & np.uint64((1 << RUN_BITS) - 1)
+def fields(loc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """start and number of windows."""
+    return (loc >> np.uint64(RUN_BITS)).astype(np.int64), (loc & np.uint64((1 << RUN_BITS) - 1)).astype(np.int64)
 
 
 def _parsed(keyed: DataFrame, n_buckets: int) -> DataFrame:
@@ -281,8 +289,8 @@ def _unpacked(packed: DataFrame, kinds: tuple[int, ...]) -> DataFrame:
         for b in batches:
             for kind, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 p = np.frombuffer(blob, PHRASE)
-                p = p[np.lexsort((p["loc"], p["doc"]))]
-                sub = (p["loc"] >> np.uint64(START_BITS + RUN_BITS)).astype(np.int64)
+                p = p[np.lexsort((p["loc"], p["sub"], p["doc"]))]
+                sub = p["sub"]
                 edge = np.flatnonzero(np.concatenate([[True], (p["doc"][1:] != p["doc"][:-1]) | (sub[1:] != sub[:-1]), [True]]))
                 yield pa.RecordBatch.from_arrays([pa.array(p["doc"][edge[:-1]]), pa.array(sub[edge[:-1]]), pa.array([kind] * (len(edge) - 1), pa.int32()), pa.array([p[a:z].tobytes() for a, z in zip(edge[:-1], edge[1:])], pa.binary())], names=["doc", "sub", "kind", "at"])
 
@@ -290,60 +298,87 @@ def _unpacked(packed: DataFrame, kinds: tuple[int, ...]) -> DataFrame:
 
 
 def _fetched(keyed: DataFrame, ambiguous: DataFrame, n_buckets: int) -> DataFrame:
-    """Ambiguous phrases with their bytes, by key; of wide keys the windows' hashes, by hash."""
+    """Ambiguous phrases with their bytes, by key; those of wide keys window by window, by the windows' hashes."""
     wanted = ambiguous.groupBy("doc", "sub").agg(F.collect_list(F.struct("kind", "at")).alias("phrases"))
-    d = keyed.join(wanted, ["doc", "sub"]).select("text", "phrases")
+    d = keyed.join(wanted, ["doc", "sub"]).select("doc", "sub", "text", "phrases")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, n = Roller(), np.uint64(n_buckets)
         for b in batches:
-            narrow, wide = {}, []
-            for text, phrases in zip(texts(b.column(0)), b.column(1).to_pylist()):
+            heads, cut = [np.zeros(0, CONTEXT)], []
+            for text, phrases in zip(texts(b.column(2)), b.column(3).to_pylist()):
                 for x in phrases:
                     p = np.frombuffer(x["at"], PHRASE)
-                    _, start, runs = fields(p["loc"])
-                    ends = (start + runs).astype(np.int64) + WIDTH - 1
-                    cut = [text[a:z] for a, z in zip(start.tolist(), ends.tolist())]
                     if x["kind"] == WIDE_ONES:
-                        wide.append(_windows(roller, p["doc"], p["loc"], cut))
-                        continue
-                    for k, doc, loc, c in zip((p["key"] % n).tolist(), p["doc"].tolist(), p["loc"].tolist(), cut):
-                        narrow.setdefault(k, []).append((doc, loc, c))
-            if narrow:
-                blobs = [_pack_contexts(x) for x in narrow.values()]
-                yield pa.RecordBatch.from_arrays([pa.array([CONTEXTS] * len(narrow), pa.int32()), pa.array(list(narrow), pa.int32()), pa.array(blobs, pa.binary())], schema=_ARROW)
-            if wide:
-                w = np.concatenate(wide)
-                yield from _rows(WINDOWS, (w["hash"] % n).astype(np.int64), w)
+                        p = _windows(roller, p, text)
+                    head = np.zeros(len(p), CONTEXT)
+                    for c in CONTEXT.names:
+                        head[c] = p[c]
+                    start, runs = fields(p["loc"])
+                    heads.append(head)
+                    cut += [text[a:z] for a, z in zip(start.tolist(), (start + runs + WIDTH - 1).tolist())]
+            head = np.concatenate(heads)
+            at = np.arange(len(head))
+
+            def pack(some: np.ndarray) -> bytes:
+                return np.array([len(some)], "<i8").tobytes() + head[some].tobytes() + b"".join([cut[k] for k in some.tolist()])
+
+            yield from _rows(CONTEXTS, (head["key"] % n).astype(np.int64), at, pack)
 
     return d.mapInArrow(run, PACKED)
 
 
-def _pack_contexts(rows: list[tuple[int, int, bytes]]) -> bytes:
-    head = np.zeros(len(rows), [("doc", "<i8"), ("loc", "<u8")])
-    head["doc"], head["loc"] = [r[0] for r in rows], [r[1] for r in rows]
-    return np.array([len(rows)], "<i8").tobytes() + head.tobytes() + b"".join(r[2] for r in rows)
-
-
-def _windows(roller: Roller, doc: np.ndarray, loc: np.ndarray, cut: list[bytes]) -> np.ndarray:
-    """All windows of some phrases: hash, document, and sub and begin as one number."""
-    out = []
-    lengths = np.array([len(c) for c in cut], np.int64)
-    ends = np.cumsum(lengths)
-    for a in range(0, len(cut), 2048):
-        z = min(a + 2048, len(cut))
-        data = np.frombuffer(b"".join(cut[a:z]), np.uint8)
-        sums = roller.sums(data)
-        runs = lengths[a:z] - WIDTH + 1
-        begins = ends[a:z] - lengths[a:z] - (ends[a] - lengths[a])
-        own = np.repeat(np.arange(z - a), runs)
-        step = np.arange(len(own)) - np.repeat(np.cumsum(runs) - runs, runs)
-        at = begins[own] + step
-        w = np.zeros(len(own), WINDOW)
-        w["hash"], w["doc"] = roller.of(sums, at, at + WIDTH), doc[a:z][own]
-        w["at"] = (loc[a:z][own] >> np.uint64(RUN_BITS)) + step.astype(np.uint64)
-        out.append(w)
-    return np.concatenate(out) if out else np.zeros(0, WINDOW)
+def _windows(roller: Roller, p: np.ndarray, text: bytes) -> np.ndarray:
+    """Each window of a text's phrases as a phrase, whose key is the window's hash."""
+    start, runs = fields(p["loc"])
+    out = np.repeat(p, runs)
+    begin = np.repeat(start, runs) + np.arange(len(out)) - np.repeat(np.cumsum(runs) - runs, runs)
+    for a in range(0, len(out), PIECE):
+        some = begin[a : a + PIECE]
+        low = int(some.min())
+        for first in range(low, int(some.max()) + 1, PIECE):
+            here = (some >= first) & (some < first + PIECE)
+            sums = roller.sums(np.frombuffer(text[first : first + PIECE + WIDTH], np.uint8))
+            out["key"][a : a + PIECE][here] = roller.of(sums, some[here] - first, some[here] - first + WIDTH)
+    out["loc"] = location(begin, np.ones(len(out), np.int64))
+    return out
+
+
+def suffix_ranks(data: np.ndarray) -> np.ndarray:
+    """For each place with WIDTH bytes from it on, the rank of these bytes among all such places; equal bytes have equal ranks.
+
+    Prefix doubling: ranks of 8 bytes give those of 16, 32, 64, and of 100.
+    """
+    n = len(data) - 7
+    now = np.zeros(n, np.uint64)
+    for k in range(8):
+        now = (now << np.uint64(8)) | data[k : k + n]
+    _, now = np.unique(now, return_inverse=True)
+    step = 8
+    while step < WIDTH:
+        by = min(step, WIDTH - step)
+        _, now = np.unique(now[:-by] * np.int64(len(now)) + now[by:], return_inverse=True)
+        step += by
+    return now
+
+
+def later_windows(head: np.ndarray, data: bytes) -> np.ndarray:
+    """The repeats among all windows of some phrases, whose bytes stand one after the other in ``data``."""
+    start, runs = fields(head["loc"])
+    lengths = runs + WIDTH - 1
+    begins = np.cumsum(lengths) - lengths
+    own = np.repeat(np.arange(len(head)), runs)
+    step = np.arange(len(own)) - np.repeat(np.cumsum(runs) - runs, runs)
+    rank = suffix_ranks(np.frombuffer(data, np.uint8))[begins[own] + step]
+    w = np.zeros(len(own), REPEAT)
+    w["doc"], w["sub"], w["start"], w["n"] = head["doc"][own], head["sub"][own], start[own] + step, 1
+    # the suffix array's order, and for equal suffixes that of the corpus
+    order = np.lexsort((w["start"], w["sub"], w["doc"], rank))
+    w, rank = w[order], rank[order]
+    once = np.concatenate([[True], w[1:] != w[:-1]])  # rows that repeat as a whole
+    w, rank = w[once], rank[once]
+    first = w[np.maximum.accumulate(np.where(np.concatenate([[True], rank[1:] != rank[:-1]]), np.arange(len(w)), 0))]
+    return joined_runs(w[w != first])
 
 
 RUNS = "doc long, sub long, at binary"
@@ -361,28 +396,25 @@ def _by_window(fetched: DataFrame) -> DataFrame:
     """Repeats among the windows of ambiguous phrases."""
 
     def run(table: pa.Table) -> pa.Table:
-        roller, parts = Roller(), [_gathered(table, WINDOWS, WINDOW)]
-        for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()):
-            if kind == CONTEXTS:
-                n = int(np.frombuffer(blob, "<i8", 1)[0])
-                head = np.frombuffer(blob, [("doc", "<i8"), ("loc", "<u8")], n, 8)
-                ends = 8 + 16 * n + np.cumsum((head["loc"] & np.uint64((1 << RUN_BITS) - 1)).astype(np.int64) + WIDTH - 1)
-                cut = [blob[a:z] for a, z in zip([8 + 16 * n, *ends[:-1].tolist()], ends.tolist())]
-                parts.append(_windows(roller, head["doc"], head["loc"], cut))
-        w = np.concatenate(parts)
-        del parts
-        order = np.lexsort((w["at"], w["doc"], w["hash"]))
-        again = np.zeros(0, REPEAT)
-        if len(w):
-            h = w["hash"][order]
-            new = np.concatenate([[True], h[1:] != h[:-1]])
-            first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-            w = w[order[(w["doc"][order] != w["doc"][first]) | (w["at"][order] != w["at"][first])]]
-            again = np.zeros(len(w), REPEAT)
-            again["doc"], again["sub"] = w["doc"], (w["at"] >> np.uint64(START_BITS)).astype(np.int64)
-            again["start"], again["n"] = (w["at"] & np.uint64((1 << START_BITS) - 1)).astype(np.int64), 1
-            again = joined_runs(np.unique(again))
-        return pa.Table.from_batches([_by_document(again)])
+        heads, cut = [np.zeros(0, CONTEXT)], []
+        for blob in table.column("blob").to_pylist():
+            n = int(np.frombuffer(blob, "<i8", 1)[0])
+            head = np.frombuffer(blob, CONTEXT, n, 8)
+            ends = 8 + CONTEXT.itemsize * n + np.cumsum(fields(head["loc"])[1] + WIDTH - 1)
+            cut += [blob[a:z] for a, z in zip([8 + CONTEXT.itemsize * n, *ends[:-1].tolist()], ends.tolist())]
+            heads.append(head)
+        head = np.concatenate(heads)
+        order = np.argsort(head["key"], kind="stable")
+        head = head[order]
+        ends = np.cumsum(fields(head["loc"])[1] + WIDTH - 1)
+        # some keys at a time, each as a whole
+        edge = np.flatnonzero(np.concatenate([head["key"][1:] != head["key"][:-1], [True]])) + 1 if len(head) else np.zeros(0, np.int64)
+        again, a = [np.zeros(0, REPEAT)], 0
+        for z in edge.tolist():
+            if z == len(head) or ends[z - 1] - (ends[a - 1] if a else 0) >= SORTED:
+                again.append(later_windows(head[a:z], b"".join([cut[k] for k in order[a:z].tolist()])))
+                a = z
+        return pa.Table.from_batches([_by_document(joined_runs(np.concatenate(again)))])
 
     return fetched.groupBy("bucket").applyInArrow(run, RUNS)
 
@@ -407,10 +439,9 @@ def spans(runs: list[bytes], length: int) -> list[tuple[int, int]]:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, removed, kept): every row's removed spans and what is left.
+    """(doc_id, text, runs): every row with its repeated windows, as packed runs (begin, number) for ``spans``.
 
-    removed: an array of (begin, end) in bytes; kept: binary. A byte goes if
-    it lies in a string of WIDTH bytes that also begins earlier: in a smaller
+    A byte goes if it lies in a string of WIDTH bytes that also begins earlier: in a smaller
     doc_id, or further left in the same document. Null and empty texts, and
     those under WIDTH bytes, lose nothing. A null doc_id comes before all
     others. Rows with one doc_id and different texts are different documents,
@@ -419,7 +450,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     an empty result; other columns are ignored.
     """
     d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    sub = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 64 - SUB_BITS)
+    sub = F.xxhash64(F.coalesce("text", F.lit("")))
     keyed = d.select(F.coalesce("doc_id", F.lit(FIRST_ID)).alias("doc"), sub.alias("sub"), "text")
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(1, size // (31 * IN_BUCKET) + 1)
@@ -432,7 +463,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 
 def removal(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, removed, kept) of every row; see ``without_repeats``."""
+    """(doc_id, n_bytes, removed, kept) of every row; see ``without_repeats``.
+
+    removed: an array of (begin, end) in bytes; kept: what is left, as binary.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

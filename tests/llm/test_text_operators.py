@@ -347,7 +347,7 @@ def test_repeats_in_long_and_odd_texts(spark, monkeypatch):
     covered = {}
     for i, t in docs:
         mine = [p for p in np.concatenate(phrases) if p["doc"] == i]
-        starts = sorted(s for p in mine for s in range(int(substring_dedup.fields(p["loc"])[1]), int(substring_dedup.fields(p["loc"])[1]) + int(substring_dedup.fields(p["loc"])[2])))
+        starts = sorted(s for p in mine for s in range(int(substring_dedup.fields(p["loc"])[0]), int(sum(substring_dedup.fields(p["loc"])))))
         covered[i] = starts == list(range(len(t) - 99))
     assert covered == {1: True, 2: True}
     monkeypatch.undo()
@@ -355,3 +355,26 @@ def test_repeats_in_long_and_odd_texts(spark, monkeypatch):
     got = sorted((str(x.doc_id), x.n_removed) for x in substring_dedup.digest(frame(spark, rows)).collect())
     assert got == [("1", 500), ("1", 500), ("2", 5000), ("None", 0)]
     assert substring_dedup.digest(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh", "a"])
+def test_suffix_array_of_a_dictionary(letters):
+    r = random.Random(len(letters))
+    base = "".join(r.choice(letters) for _ in range(400)).encode()
+    cut = [base[a : a + 100 + r.randrange(61)] for a in (r.randrange(240) for _ in range(60))]
+    data = b"".join(cut)
+    ranks = substring_dedup.suffix_ranks(np.frombuffer(data, np.uint8))
+    order = sorted({data[k : k + 100] for k in range(len(data) - 99)})
+    assert ranks.tolist() == [order.index(data[k : k + 100]) for k in range(len(data) - 99)]
+    # phrases of one key, however unlike: only equal bytes are repeats
+    head = np.zeros(len(cut), substring_dedup.CONTEXT)
+    head["doc"], head["sub"], head["loc"] = np.arange(len(cut)) // 2, 5, substring_dedup.location(1000 * (np.arange(len(cut)) % 2), np.array([len(c) - 99 for c in cut]))
+    seen, want = set(), set()
+    for k, c in enumerate(cut):
+        for a in range(len(c) - 99):
+            if c[a : a + 100] in seen:
+                want.add((k // 2, 1000 * (k % 2) + a))
+            seen.add(c[a : a + 100])
+    got = substring_dedup.later_windows(head, data)
+    assert {(x["doc"], x["start"] + k) for x in got for k in range(x["n"])} == want and set(got["sub"]) <= {5}
+    assert substring_dedup.later_windows(np.concatenate([head, head]), data * 2).tolist() == got.tolist()
