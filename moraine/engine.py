@@ -48,6 +48,7 @@ class Engine:
     process_source_tables: whether commands resolve lake tables in their source SQL.
     collector: called with (kind, metrics) after scans and commits.
     transformer: called with every query's text after lake tables are resolved.
+    commit_lock: for file systems without exclusive create, as object stores: called with a path, gives a context manager that all writers share.
     configure: called with the engine's session; what it returns and has ``close`` is closed with the engine.
     """
 
@@ -55,13 +56,14 @@ class Engine:
         self, spark: SparkSession, warehouse: str, *, allow_full_scan: bool = False, max_scan_bytes: int | None = None, cache_seconds: float = 0, manifest_cache_bytes: int = 256 << 20,
         process_source_tables: bool = True, application: str | None = None, collector: Callable | None = None, transformer: Callable[[str], str] | None = None,
         max_connections: int | None = None, connection_timeout: float = 600, query_timeout: float = 0, keep_staging: bool = False, configure: Callable | None = None, catalog_name: str = "lake",
+        commit_lock: Callable | None = None,
     ):
         self.spark = spark.newSession()
         for key, value in _settings_of(spark).items():
             self.spark.conf.set(key, value)
         for key, value in SETTINGS.items():
             self.spark.conf.set(key, value)
-        self.catalog = Catalog(self.spark, warehouse, catalog_name, cache_seconds, manifest_cache_bytes)
+        self.catalog = Catalog(self.spark, warehouse, catalog_name, cache_seconds, manifest_cache_bytes, commit_lock)
         self.allow_full_scan, self.max_scan_bytes, self.process_source_tables = allow_full_scan, max_scan_bytes, process_source_tables
         self.application, self.collector, self.transformer = application, collector, transformer
         self.keep_staging, self.query_timeout, self.connection_timeout = keep_staging, query_timeout, connection_timeout

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import uuid
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import ValidationError, check
 from ..plans.parser import parse
-from ..plans.predicates import Predicate, and_, equal, is_null, or_
+from ..plans.predicates import Predicate, and_, between, equal, is_null, not_null, or_
 from ..sources.commit import Batch, Change, CommitMetrics, Transaction, isolation_for
 from ..sources.metadata import MAIN, Table
 from ..sources.writer import Writer, wrapped
 
-#: Distinct values from which a filter may be made.
+#: Combinations of values that a filter may list; more are joined as a table.
 MOST_VALUES = 10_000
 
 
@@ -145,11 +147,33 @@ class Command:
                     self.table.catalog.files.remove(path)
 
 
-def values_filter(df: DataFrame, names: list[str]) -> Predicate:
-    """Rows with one of the combinations of values that ``df`` has in some columns. Null matches null."""
-    rows = df.select(*[F.col(f"`{n}`") for n in names]).distinct().limit(MOST_VALUES + 1).collect()
-    check(len(rows) <= MOST_VALUES, "Filter columns have more than %s combinations of values", MOST_VALUES)
+def values_filter(df: DataFrame, names: list[str]) -> tuple[Predicate, DataFrame | None]:
+    """Rows with one of the combinations of values that ``df`` has in some columns. Null matches null.
+
+    Of up to MOST_VALUES combinations the filter is exact. Of more it has the
+    columns' bounds only, for pruning, and the combinations come as a table
+    with which rows are to be joined (``among``).
+    """
+    values = df.select(*[F.col(f"`{n}`") for n in names]).distinct()
+    rows = values.limit(MOST_VALUES + 1).collect()
+    if len(rows) > MOST_VALUES:
+        return and_(*[_bounds(values, n) for n in names]), values
     out = or_()
     for r in rows:
         out = or_(out, and_(*[is_null(n) if v is None else equal(n, v) for n, v in zip(names, r)]))
-    return out
+    return out, None
+
+
+def _bounds(values: DataFrame, name: str) -> Predicate:
+    c = F.col(f"`{name}`")
+    odd = F.isnan(c) if isinstance(values.schema[name].dataType, (T.FloatType, T.DoubleType)) else F.lit(False)
+    low, high, nulls, nans = values.agg(F.min(c), F.max(c), F.max(c.isNull()), F.max(odd)).first()
+    some = or_() if low is None else not_null(name) if nans else between(name, low, high)
+    return or_(some, is_null(name)) if nulls else some
+
+
+def among(rows: DataFrame, values: DataFrame, how: str) -> DataFrame:
+    """Rows with one of the combinations (``left_semi``) or none (``left_anti``). Null matches null."""
+    v = values.toDF(*[f"_v{i}" for i in range(len(values.columns))])
+    same = [F.col(f"`{n}`").eqNullSafe(F.col(f"_v{i}")) for i, n in enumerate(values.columns)]
+    return rows.join(v, reduce(lambda a, b: a & b, same), how)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
 from ..errors import check
 from ..plans.predicates import Predicate
 from ..sources.commit import Change, CommitMetrics
-from ..sources.scan import read_table
+from ..sources.metadata import DataFile
+from ..sources.scan import FILE, TimeTravel, plan, read_table
 from ..sources.writer import project
-from .command import Command, values_filter
+from .command import Command, among, values_filter
 
 
 class Insert(Command):
@@ -31,19 +34,36 @@ class Insert(Command):
         return self
 
     def execute(self) -> CommitMetrics | None:
-        """An empty source changes nothing, not even with a filter."""
+        """An empty source changes nothing, not even with a filter.
+
+        Where filter columns have too many combinations of values for a filter,
+        files that hold other rows as well are written anew without the matches.
+        """
         check(self._source is not None, "The source is mandatory")
         check(self._filter is None or self._filter_columns is None, "Only one kind of overwrite filter may be set")
         base = self._base()
         with self._staging() as stage:
             rows = project(self._source(), self.table.schema, self._columns)
             files = self._write(stage(rows) if self._once else rows)
-        if not files:
-            return self._finish(None)
-        where = self._filter
-        if self._filter_columns:
-            # from what was written, so that the source runs once
-            where = values_filter(read_table(self.table, [f.path for f in files]), self._filter_columns)
+            if not files:
+                return self._finish(None)
+            where = self._filter
+            if self._filter_columns:
+                # from what was written, so that the source runs once
+                where, values = values_filter(read_table(self.table, [f.path for f in files]), self._filter_columns)
+                if values is not None:
+                    return self._replace(files, where, stage(values), base)
         if where is None:
             return self._finish(Change(files, base=base.id if base else None))
         return self._finish(Change(files, [], base.id if base else None, where, self._level(), where))
+
+    def _replace(self, files: list[DataFile], where: Predicate, values: DataFrame, base) -> CommitMetrics | None:
+        old = plan(self.table, where, TimeTravel(snapshot=base.id) if base else None).files
+        touched = []
+        if old:
+            rows = read_table(self.table, [f.path for f in old], file_columns=True)
+            hit = {r[0] for r in among(rows, values, "left_semi").select(FILE).distinct().collect()}  # a path a file
+            touched = [f for f in old if f.path in hit]
+        if touched:
+            files = files + self._write(among(read_table(self.table, [f.path for f in touched]), values, "left_anti"))
+        return self._finish(Change(files, touched, base.id if base else None, where, self._level()))

@@ -4,7 +4,7 @@ All four modes are one plan. The target's candidate rows, with their file and
 place, are joined with the source by null-safe keys; what isn't unchanged is
 staged once as the list of changes (op, file, place, source columns). From it
 follow the files to write anew, the check that no target row is hit twice, and
-the new rows; the other rows of those files come back by an anti join.
+the new rows; the other rows of those files come back by one left join.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from ..plans.predicates import Predicate, and_, equal, greater_than_or_equal, is
 from ..sources.commit import Change, CommitMetrics
 from ..sources.scan import FILE, ROW, TimeTravel, plan, read_table
 from ..sources.writer import project, projection
-from .command import Command, values_filter
+from .command import Command, among, values_filter
 
 OP, S_FILE, S_ROW = "_op", "_file", "_row"
 
@@ -74,6 +74,7 @@ class _Merge(Command):
         super().__init__(engine, target)
         self._filter: Predicate | None = None
         self._filter_columns: list[str] | None = None
+        self._among: DataFrame | None = None
         self._keys: list[str] = []
         self._op_column: str | None = None
         self._delete_value: object = None
@@ -159,7 +160,8 @@ class _Merge(Command):
             rows = rows.where(to_column(resolve(where, self.table.schema), self.table.schema))
         rows = stage(rows)  # the source may not give the same rows twice
         if where is None:
-            where = values_filter(rows, self._filter_columns)
+            where, values = values_filter(rows, self._filter_columns)
+            self._among = None if values is None else stage(values)
         return rows, where
 
     def _changes(self, candidates: DataFrame, source: DataFrame, fields: list[T.StructField], always: bool) -> DataFrame:
@@ -176,7 +178,7 @@ class _Merge(Command):
         op = F.when(F.col("_source").isNull(), "D").when(hit & F.col("_deleted"), "D").when(hit & changed, "U").when(hit, "N").when(F.col("_deleted"), "N").otherwise("I")
         return joined.withColumn(OP, op).select(OP, S_FILE, S_ROW, *[F.when(F.col(OP) != "N", F.col(f"`{n}`")).alias(n) for n in names])
 
-    def _merged(self, where: Predicate, candidate: Column | None, source: DataFrame, fields: list[T.StructField], always: bool, stage, finish, scanned: Predicate, before=None) -> CommitMetrics | None:
+    def _merged(self, where: Predicate, candidate: Column | None, source: DataFrame, fields: list[T.StructField], always: bool, stage, finish, scanned: Predicate, before=None, closing: dict[str, Column] | None = None) -> CommitMetrics | None:
         base = self._base()
         schema = self.table.schema
         got = plan(self.table, scanned, TimeTravel(snapshot=base.id) if base else None)
@@ -185,28 +187,32 @@ class _Merge(Command):
             before(target)
         if not got.files:
             new = source.where(~F.col("_deleted")).select(*[F.col(f"`{f.name}`") for f in fields])
-            return self._end(self._write(project(finish(new, None), schema)), [], base, where)
+            return self._end(self._write(project(finish(new), schema)), [], base, where)
         cand = to_column(resolve(where, schema), schema)
         rows = target.where(cand if candidate is None else cand & candidate)
+        if self._among is not None:
+            rows = among(rows, self._among, "left_semi")
         every = self._changes(rows, source, fields, always)
         # unchanged matches stay for the check that a target row is hit once
         changes = stage(every.where((F.col(OP) != "N") | F.col(S_FILE).isNotNull()).withColumn("_n", F.col(OP) == "N"))
         hits = changes.where(F.col(S_FILE).isNotNull())
-        twice = hits.groupBy(S_FILE, S_ROW).count().where("count > 1").limit(1).count()
-        check(not twice, "Merge matched one row of the target with several rows of the source")
+        by_row = hits.groupBy(S_FILE, S_ROW).agg(F.count("*").alias("times"), F.max(~F.col("_n")).alias("changed"))
+        by_file = by_row.groupBy(S_FILE).agg(F.max("times"), F.max("changed")).collect()  # a row a file
+        check(all(times == 1 for _, times, _ in by_file), "Merge matched one row of the target with several rows of the source")
+        paths = {path for path, _, changed in by_file if changed}
         changes = changes.where(~F.col("_n"))
-        hits = changes.where(F.col(S_FILE).isNotNull())
-        paths = {r[0] for r in hits.select(S_FILE).distinct().collect()}
         touched = [f for f in got.files if f.path in paths]
         new = changes.where(F.col(OP).isin("I", "U")).select(*[F.col(f"`{f.name}`") for f in fields])
-        parts = [finish(new, None)]
+        parts = [finish(new)]
         if touched:
-            old = read_table(self.table, [f.path for f in touched], file_columns=True)
-            marks = hits.select(F.col(S_FILE).alias(FILE), F.col(S_ROW).alias(ROW))
-            kept = old.join(marks, [FILE, ROW], "left_anti").drop(FILE, ROW)
-            parts.append(kept)
-            if closed := finish(None, old.join(marks, [FILE, ROW], "left_semi").drop(FILE, ROW)):
-                parts.append(closed)
+            # one join gives the rows that stay as they are and those that are closed
+            marks = changes.where(F.col(S_FILE).isNotNull()).select(F.col(S_FILE).alias(FILE), F.col(S_ROW).alias(ROW), F.lit(True).alias("_hit"))
+            old = read_table(self.table, [f.path for f in touched], file_columns=True).join(marks, [FILE, ROW], "left")
+            if closing is None:
+                old = old.where("_hit IS NULL")
+            else:
+                old = old.withColumns({n: F.when(F.col("_hit"), c).otherwise(F.col(f"`{n}`")) for n, c in closing.items()})
+            parts.append(old.drop(FILE, ROW, "_hit"))
         out = reduce(lambda a, b: a.unionByName(b), [project(p, schema) for p in parts])
         return self._end(self._write(out), touched, base, where)
 
@@ -229,7 +235,7 @@ class SCD1Changes(_Merge):
             source, where = self._prepare(self.table.schema, stage)
             if source.isEmpty():
                 return self._finish(None)
-            return self._merged(where, None, source, list(self.table.schema), True, stage, lambda new, old: new, where)
+            return self._merged(where, None, source, list(self.table.schema), True, stage, lambda new: new, where)
 
 
 class SCD1Snapshot(_Merge):
@@ -255,7 +261,7 @@ class SCD1Snapshot(_Merge):
             source, where = self._prepare(self.table.schema, stage)
             if self._skip_empty and source.isEmpty():
                 return self._finish(None)
-            return self._merged(where, None, source, list(self.table.schema), False, stage, lambda new, old: new, where)
+            return self._merged(where, None, source, list(self.table.schema), False, stage, lambda new: new, where)
 
 
 class _SCD2(_Merge):
@@ -329,14 +335,10 @@ class _SCD2(_Merge):
         start, end = F.col(f"`{self._field(self._start).name}`"), F.col(f"`{self._field(self._end_column).name}`")
         at = literal(ts, T.TimestampNTZType())
 
-        def finish(new: DataFrame | None, old: DataFrame | None) -> DataFrame:
-            df = new if new is not None else old
-            values = {self._field(self._end_column).name: F.lit(None).cast("timestamp_ntz") if new is not None else at}
-            if new is not None:
-                values[self._field(self._start).name] = at
-            if self._flag:
-                values[self._field(self._flag).name] = F.lit(new is not None)
-            return df.withColumns(values)
+        opened = {self._field(self._start).name: at, self._field(self._end_column).name: F.lit(None).cast("timestamp_ntz")}
+        closing = {self._field(self._end_column).name: at}
+        if self._flag:
+            opened[self._field(self._flag).name], closing[self._field(self._flag).name] = F.lit(True), F.lit(False)
 
         with self._staging() as stage:
             source, where = self._prepare(T.StructType(fields), stage)
@@ -349,7 +351,7 @@ class _SCD2(_Merge):
                 late = target.where(to_column(resolve(scanned, self.table.schema), self.table.schema) & ((start >= at) | (end >= at)))
                 check(not late.limit(1).count(), "Out-of-order records detected")
 
-            return self._merged(where, (start < at) & end.isNull(), source, fields, False, stage, finish, scanned, in_order)
+            return self._merged(where, (start < at) & end.isNull(), source, fields, False, stage, lambda new: new.withColumns(opened), scanned, in_order, closing)
 
 
 class SCD2Changes(_SCD2):

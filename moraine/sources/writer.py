@@ -14,7 +14,6 @@ import math
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
-import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,17 +111,17 @@ class Writer:
             rows = rows.hint("rebalance").sortWithinPartitions(*order)
         folder = f"{meta.location}/data/{uuid.uuid4().hex}"
         out = tagged(rows, meta.schema).write.option("compression", meta.properties.get(*COMPRESSION)).option("parquet.block.row.count.limit", meta.properties.get(*ROW_GROUP))
-        if limit := self._rows_in_file():
-            out = out.option("maxRecordsPerFile", limit)
+        out = out.option("maxRecordsPerFile", self._rows_in_file())
         (out.partitionBy(PART) if parts else out).parquet(folder)
         return self._collect(folder, spec)
 
     def _rows_in_file(self) -> int:
-        """So many rows that a file is about the target size, from the sizes of the table's files; 0 if unknown."""
-        files = self.table.files(self.table.snapshot_of())[-100:]
+        """So many rows that a file is about the target size, from the sizes of the files added last, else of the schema's types."""
+        files = [f for m in self.table.manifests(self.table.snapshot_of())[-2:] for f in self.table.catalog.manifests.read(m)]
         records, size = sum(f.records for f in files), sum(f.size for f in files)
-        target = int(self.meta.properties.get(*TARGET_BYTES))
-        return max(1, int(1.1 * target * records / size)) if records > 1000 else 0
+        if records <= 1000:
+            records, size = 1, self.table.catalog.spark._jsparkSession.parseDataType(self.meta.schema.json()).defaultSize()
+        return max(1, int(1.1 * int(self.meta.properties.get(*TARGET_BYTES)) * records / size))
 
     def _order(self, s) -> Column:
         c = F.col(f"`{self.by_id[s.source_id].name}`")
@@ -173,10 +172,7 @@ class Writer:
 
 def describe(files: Files, meta: Metadata, path: str, size: int) -> DataFile:
     """Counts and bounds from a file's footer."""
-    if at := files.local(path):
-        footer = pq.read_metadata(at)
-    else:
-        footer = pq.read_metadata(pa.BufferReader(files.read(path)))
+    footer = pq.read_metadata(files.opened(path, size))
     by_path = {".".join(p): f for p, f in leaves(meta.schema)}
     stats: dict[str, dict] = {}
     for g in range(footer.num_row_groups):
