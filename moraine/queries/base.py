@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -10,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..engine import Engine
+from ..sources.shared import shared_folder
 
 #: Partitioning and sort order of the tables made.
 LAYOUT = {
@@ -21,8 +21,7 @@ LAYOUT = {
 
 def engine_for(spark: SparkSession, **options) -> Engine:
     """An engine on a new warehouse in the folder that all executors share."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="moraine")
-    return Engine(spark, f"{where}/warehouse-{uuid.uuid4().hex}", **{"allow_full_scan": True} | options)
+    return Engine(spark, f"{shared_folder(spark)}/warehouse-{uuid.uuid4().hex}", **{"allow_full_scan": True} | options)
 
 
 def sources(engine: Engine, sf_dir: str, *names: str) -> None:

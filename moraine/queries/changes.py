@@ -31,25 +31,25 @@ def _all(e):
 
 def _insert_columns(e, d):
     _table(e, d)
-    e.insert_into("db.t").sql("SELECT o_orderkey + 1000000 AS o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey < 100").columns(["o_orderkey", "o_orderstatus"]).execute()
+    e.insert_into("db.t").sql("SELECT o_orderkey + 1000000 AS o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders").columns(["o_orderkey", "o_orderstatus"]).execute()
     return _all(e)
 
 
 def _overwrite_filter(e, d):
     _table(e, d)
-    e.insert_into("db.t").sql("SELECT o_orderkey, -1L AS o_custkey, o_orderstatus, 0D AS o_totalprice FROM orders WHERE o_orderstatus = 'P' AND o_orderkey < 500").overwrite_by_filter(P.equal("o_orderstatus", "P")).execute()
+    e.insert_into("db.t").sql("SELECT o_orderkey, -1L AS o_custkey, o_orderstatus, 0D AS o_totalprice FROM orders WHERE o_orderstatus = 'P'").overwrite_by_filter(P.equal("o_orderstatus", "P")).execute()
     return _all(e)
 
 
 def _overwrite_sql(e, d):
     _table(e, d)
-    e.insert_into("db.t").sql("SELECT o_orderkey, -2L AS o_custkey, o_orderstatus, 1D AS o_totalprice FROM orders WHERE o_orderstatus IN ('P', 'O') AND o_orderkey < 500").overwrite_by_filter_sql("o_orderstatus IN ('P', 'O')").execute()
+    e.insert_into("db.t").sql("SELECT o_orderkey, -2L AS o_custkey, o_orderstatus, 1D AS o_totalprice FROM orders WHERE o_orderstatus IN ('P', 'O')").overwrite_by_filter_sql("o_orderstatus IN ('P', 'O')").execute()
     return _all(e)
 
 
 def _overwrite_columns(e, d):
     _table(e, d)
-    e.insert_into("db.t").sql("SELECT o_orderkey, -3L AS o_custkey, o_orderstatus, 2D AS o_totalprice FROM orders WHERE o_orderstatus != 'F' AND o_orderkey < 500").overwrite_by_filter_columns(["o_orderstatus"]).execute_sql_once_only().execute()
+    e.insert_into("db.t").sql("SELECT o_orderkey, -3L AS o_custkey, o_orderstatus, 2D AS o_totalprice FROM orders WHERE o_orderstatus != 'F'").overwrite_by_filter_columns(["o_orderstatus"]).execute_sql_once_only().execute()
     return _all(e)
 
 
@@ -79,7 +79,7 @@ def _delete_null(e, d):
     return _all(e)
 
 
-_FEED = "SELECT o_orderkey, o_custkey + 1 AS o_custkey, o_orderstatus, o_totalprice * 2 AS o_totalprice, CASE WHEN o_orderkey % 10 = 1 THEN 'D' ELSE 'U' END AS op FROM orders WHERE o_orderkey % 5 = 1 UNION ALL SELECT o_orderkey + 1000000, o_custkey, 'N', 1D, 'I' FROM orders WHERE o_orderkey < 200"
+_FEED = "SELECT o_orderkey, o_custkey + 1 AS o_custkey, o_orderstatus, o_totalprice * 2 AS o_totalprice, CASE WHEN o_orderkey % 10 = 1 THEN 'D' ELSE 'U' END AS op FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT o_orderkey + 1000000, o_custkey, 'N', 1D, 'I' FROM orders"
 _FEED_DUCK = _FEED.replace("1D", "1::DOUBLE")
 
 
@@ -97,11 +97,11 @@ def _scd1_no_op(e, d):
 
 def _scd1_filter_columns(e, d):
     _table(e, d)
-    e.apply_changes_as_scd1("db.t").table_filter_columns(["o_orderstatus"]).source_sql("SELECT o_orderkey, -o_custkey AS o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 2 = 0").key_columns(["o_orderkey", "o_orderstatus"]).execute()
+    e.apply_changes_as_scd1("db.t").table_filter_columns(["o_orderstatus"]).source_sql("SELECT o_orderkey, -o_custkey AS o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'").key_columns(["o_orderkey", "o_orderstatus"]).execute()
     return _all(e)
 
 
-_SNAP = "SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 5 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 3 != 0 UNION ALL SELECT o_orderkey + 2000000, o_custkey, 'F', 3D FROM orders WHERE o_orderkey < 50"
+_SNAP = "SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 5 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderpriority != '3-MEDIUM' UNION ALL SELECT o_orderkey + 2000000, o_custkey, 'F', 3D FROM orders"
 
 
 def _scd1_snapshot(e, d):
@@ -210,7 +210,7 @@ def _spec(e, d):
     """Files of an old and a new partitioning in one table; an overwrite takes from both."""
     _table(e, d)
     e.table("db.t").set_partitioning(["o_orderstatus", "bucket(4, o_orderkey)"])
-    e.insert_into("db.t").sql(f"SELECT o_orderkey + 1000000 AS o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey < 300").execute()
+    e.insert_into("db.t").sql(f"SELECT o_orderkey + 1000000 AS o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders").execute()
     e.insert_into("db.t").sql("SELECT 5000000L AS o_orderkey, 1L AS o_custkey, 'P' AS o_orderstatus, 1D AS o_totalprice").overwrite_by_filter_sql("o_orderstatus = 'P'").execute()
     return _all(e)
 
@@ -219,7 +219,7 @@ def _batch(e, d, overwrite: bool):
     _table(e, d)
     b = e.batch("db.t")
     for s, k in (("F", 1), ("O", 2), ("P", 3)):
-        i = e.insert_into(b).sql(f"SELECT o_orderkey + {k}000000 AS o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = '{s}' AND o_orderkey < 700")
+        i = e.insert_into(b).sql(f"SELECT o_orderkey + {k}000000 AS o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = '{s}'")
         (i.overwrite_by_filter(P.equal("o_orderstatus", s)) if overwrite else i).execute()
     b.commit()
     return _all(e)
@@ -247,18 +247,18 @@ def _q(name, make, oracle):
 
 _BASE = f"SELECT {ALL} FROM orders"
 CHANGES = [
-    _q("insert_columns", _insert_columns, f"{_BASE} UNION ALL SELECT o_orderkey + 1000000, NULL, o_orderstatus, NULL FROM orders WHERE o_orderkey < 100"),
+    _q("insert_columns", _insert_columns, f"{_BASE} UNION ALL SELECT o_orderkey + 1000000, NULL, o_orderstatus, NULL FROM orders"),
     _q("insert_from_lake_table", _source_tables, "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O'"),
-    _q("insert_overwrite_filter", _overwrite_filter, f"{_BASE} WHERE o_orderstatus != 'P' UNION ALL SELECT o_orderkey, -1, o_orderstatus, 0 FROM orders WHERE o_orderstatus = 'P' AND o_orderkey < 500"),
-    _q("insert_overwrite_sql", _overwrite_sql, f"{_BASE} WHERE o_orderstatus NOT IN ('P', 'O') UNION ALL SELECT o_orderkey, -2, o_orderstatus, 1 FROM orders WHERE o_orderstatus IN ('P', 'O') AND o_orderkey < 500"),
-    _q("insert_overwrite_columns", _overwrite_columns, f"{_BASE} WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, -3, o_orderstatus, 2 FROM orders WHERE o_orderstatus != 'F' AND o_orderkey < 500"),
+    _q("insert_overwrite_filter", _overwrite_filter, f"{_BASE} WHERE o_orderstatus != 'P' UNION ALL SELECT o_orderkey, -1, o_orderstatus, 0 FROM orders WHERE o_orderstatus = 'P'"),
+    _q("insert_overwrite_sql", _overwrite_sql, f"{_BASE} WHERE o_orderstatus NOT IN ('P', 'O') UNION ALL SELECT o_orderkey, -2, o_orderstatus, 1 FROM orders WHERE o_orderstatus IN ('P', 'O')"),
+    _q("insert_overwrite_columns", _overwrite_columns, f"{_BASE} WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, -3, o_orderstatus, 2 FROM orders WHERE o_orderstatus != 'F'"),
     _q("insert_overwrite_empty", _overwrite_empty, _BASE),
     _q("update_rows", _update, "SELECT o_orderkey, CASE WHEN o_orderkey BETWEEN 100 AND 2000 AND o_orderstatus = 'F' THEN 0 ELSE o_custkey END AS o_custkey, o_orderstatus, CASE WHEN o_orderkey BETWEEN 100 AND 2000 AND o_orderstatus = 'F' THEN 9.5 ELSE o_totalprice END AS o_totalprice FROM orders"),
     _q("delete_rows", _delete, f"{_BASE} WHERE NOT (o_orderkey BETWEEN 1 AND 100 OR o_orderkey > 500 AND o_orderkey <= 1000)"),
     _q("delete_null_condition", _delete_null, "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END AS o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 = 0 OR o_custkey <= 500"),
     _q("scd1_changes", _scd1_changes, f"WITH f AS ({_FEED_DUCK}) {_BASE} WHERE o_orderkey NOT IN (SELECT o_orderkey FROM f) UNION ALL SELECT {ALL} FROM f WHERE op != 'D'"),
     _q("scd1_changes_no_op", _scd1_no_op, f"WITH f AS ({_FEED_DUCK}) {_BASE} WHERE o_orderkey NOT IN (SELECT o_orderkey FROM f) UNION ALL SELECT {ALL} FROM f"),
-    _q("scd1_filter_columns", _scd1_filter_columns, "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN -o_custkey ELSE o_custkey END AS o_custkey, o_orderstatus, o_totalprice FROM orders"),
+    _q("scd1_filter_columns", _scd1_filter_columns, "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN -o_custkey ELSE o_custkey END AS o_custkey, o_orderstatus, o_totalprice FROM orders"),
     _q("scd1_snapshot", _scd1_snapshot, f"{_BASE} WHERE o_orderstatus != 'F' UNION ALL SELECT {ALL} FROM ({_SNAP.replace('3D', '3::DOUBLE')}) WHERE o_orderstatus = 'F'"),
     _q("scd1_value_columns", _scd1_values, "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey, o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders"),
     _q("scd1_max_delta", _scd1_delta, "SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 4 >= 2 THEN o_totalprice + o_orderkey % 4 ELSE o_totalprice END AS o_totalprice FROM orders"),
@@ -277,8 +277,8 @@ CHANGES = [
     _q("evo_widen", lambda e, d: _evolution(e, d, lambda t: t.widen_column("k", "BIGINT"), lambda t: t.widen_column("price", "DOUBLE"), select="SELECT k, price FROM db.t", more="SELECT 9000000000L AS k, 0.1D AS price"), "SELECT o_orderkey AS k, CAST(o_custkey AS DOUBLE) AS price FROM orders UNION ALL SELECT 9000000000, 0.1"),
     _q("evo_reorder", lambda e, d: _evolution(e, d, lambda t: t.move_column("status", first=True), lambda t: t.move_column("k", after="price"), select="SELECT * FROM (SELECT * FROM db.t) x").select("status", "price", "k").withColumn("price", F.col("price").cast("double")), "SELECT o_orderstatus AS status, CAST(o_custkey AS DOUBLE) AS price, CAST(o_orderkey AS INTEGER) AS k FROM orders"),
     _q("evo_nested", lambda e, d: _evolution(e, d, lambda t: t.rename_column("s.b", "c"), lambda t: t.widen_column("s.a", "BIGINT"), lambda t: t.add_column("s.z", "STRING"), lambda t: t.add_column("l.element.y", "STRING"), lambda t: t.rename_column("l.element.x", "w"), select="SELECT k, s.a AS a, s.c AS c, s.z AS z, l[0].w AS w, l[0].y AS y FROM db.t"), "SELECT CAST(o_orderkey AS INTEGER) AS k, o_custkey AS a, o_orderpriority AS c, CAST(NULL AS VARCHAR) AS z, CAST(o_orderkey AS INTEGER) AS w, CAST(NULL AS VARCHAR) AS y FROM orders"),
-    _q("evo_spec", _spec, f"{_BASE} WHERE o_orderstatus != 'P' UNION ALL SELECT o_orderkey + 1000000, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey < 300 AND o_orderstatus != 'P' UNION ALL SELECT 5000000, 1, 'P', 1"),
-    _q("batch_append", lambda e, d: _batch(e, d, False), f"{_BASE} UNION ALL SELECT o_orderkey + CASE o_orderstatus WHEN 'F' THEN 1000000 WHEN 'O' THEN 2000000 ELSE 3000000 END, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey < 700"),
-    _q("batch_overwrite", lambda e, d: _batch(e, d, True), "SELECT o_orderkey + CASE o_orderstatus WHEN 'F' THEN 1000000 WHEN 'O' THEN 2000000 ELSE 3000000 END AS o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey < 700"),
+    _q("evo_spec", _spec, f"{_BASE} WHERE o_orderstatus != 'P' UNION ALL SELECT o_orderkey + 1000000, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus != 'P' UNION ALL SELECT 5000000, 1, 'P', 1"),
+    _q("batch_append", lambda e, d: _batch(e, d, False), f"{_BASE} UNION ALL SELECT o_orderkey + CASE o_orderstatus WHEN 'F' THEN 1000000 WHEN 'O' THEN 2000000 ELSE 3000000 END, o_custkey, o_orderstatus, o_totalprice FROM orders"),
+    _q("batch_overwrite", lambda e, d: _batch(e, d, True), "SELECT o_orderkey + CASE o_orderstatus WHEN 'F' THEN 1000000 WHEN 'O' THEN 2000000 ELSE 3000000 END AS o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders"),
     _q("batch_delete", _batch_delete, f"{_BASE} WHERE NOT (o_orderstatus IN ('F', 'P') AND o_custkey > 300)"),
 ]
