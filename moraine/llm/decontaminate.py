@@ -30,6 +30,8 @@ WIDTH, THRESHOLD = 5, 0.8
 WORDS = re.compile(r"\w+")
 #: Benchmarks up to so many bytes go to every executor whole; larger ones are joined by shuffling.
 BROADCAST_BYTES = 8_000_000
+#: Up to so many of their sketches' shingles are marked in a table of bits, which keeps others from being shuffled.
+MARKED, MARK_BITS = 4_000_000, 27
 PAIR = "doc_id long, item_id long, n_item long, n_shared long, containment double"
 
 
@@ -121,7 +123,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     items = _items(benchmark)
     d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     if not _fits(items, broadcast_bytes):
-        return _joined(d, items, threshold)
+        return _joined(d, items, threshold).drop("digest")
     shared = d.sparkSession.sparkContext.broadcast([(r[0], r[1].encode()) for r in items.collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,9 +137,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def _joined(d: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    """The same for a benchmark of any size: sketches meet documents by a shuffled join."""
+    """The same for a benchmark of any size, with a digest of the text: sketches meet documents by a shuffled join."""
 
-    def hashes(b: pa.RecordBatch, every: bool) -> dict:
+    def hashes(b: pa.RecordBatch, every: bool, marks=None) -> dict:
         at, out = [], []
         for k, t in enumerate(texts(b.column(1))):
             w = words(t)
@@ -145,41 +147,55 @@ def _joined(d: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
                 s = {x for n in range(1, WIDTH + 1) for x in zip(*(w[i:] for i in range(n)))}
             else:
                 s = sketch(x, threshold) if (x := shingles(w)) else ()
-            out += [xxhash.xxh64_intdigest("\x1f".join(x), 2) - (1 << 63) for x in s]
-            at += [k] * len(s)
+            h = np.fromiter((xxhash.xxh64_intdigest("\x1f".join(x), 2) for x in s), np.uint64, len(s))
+            if marks is not None:
+                h = h[marks.value[(h >> np.uint64(64 - MARK_BITS)).astype(np.int64)]]
+            out += h.view(np.int64).tolist()
+            at += [k] * len(h)
         return {"id": b.column(0).take(pa.array(at, pa.int64())), "text_hash": b.column(2).take(pa.array(at, pa.int64())), "h": pa.array(out, pa.int64())}
 
     schema = "id long, text_hash long, h long"
     keyed = d.withColumn("text_hash", F.xxhash64("text"))
     each = items.withColumn("text_hash", F.xxhash64("text"))
-    doc_side = map_batches(keyed, lambda b: hashes(b, True), schema)
-    item_side = map_batches(each, lambda b: hashes(b, False), schema).select("h", F.col("text_hash").alias("item_hash")).distinct()
+    item_side = durable(map_batches(each, lambda b: hashes(b, False), schema).select("h", F.col("text_hash").alias("item_hash")).distinct())
+    marks = None
+    if item_side.count() <= MARKED:
+        table = np.zeros(1 << MARK_BITS, bool)
+        known = item_side.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
+        table[(known >> np.uint64(64 - MARK_BITS)).astype(np.int64)] = True
+        marks = d.sparkSession.sparkContext.broadcast(table)
+    doc_side = map_batches(keyed, lambda b: hashes(b, True, marks), schema)
     pairs = durable(doc_side.join(item_side, "h").select("text_hash", "item_hash").distinct())
     both = keyed.join(pairs, "text_hash").join(each.select(F.col("text_hash").alias("item_hash"), "item_id", F.col("text").alias("item")), "item_hash")
 
     def verify(b: pa.RecordBatch) -> dict:
-        out = {"doc_id": [], "item_id": [], "n_item": [], "n_shared": [], "containment": []}
-        for i, t, j, x in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist(), texts(b.column(3))):
+        out = {"doc_id": [], "item_id": [], "n_item": [], "n_shared": [], "containment": [], "digest": []}
+        for i, t, j, x, digest in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist(), texts(b.column(3)), b.column(4).to_pylist()):
             s, w = shingles(words(x)), words(t)
             n = len(next(iter(s)))
             shared = len(s & set(zip(*(w[k:] for k in range(n)))))
             if shared >= threshold * len(s) - 1e-9:
-                for k, v in zip(out, (i, j, len(s), shared, shared / len(s))):
+                for k, v in zip(out, (i, j, len(s), shared, shared / len(s), digest)):
                     out[k].append(v)
         return out
 
-    return map_batches(both.select("doc_id", "text", "item_id", "item"), verify, PAIR)
+    return map_batches(both.select("doc_id", "text", "item_id", "item", F.sha2("text", 256).alias("digest")), verify, PAIR + ", digest string")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns."""
+    """The rows of ``docs`` that hold no item, with all their columns; see ``contaminated``.
+
+    Null and empty texts hold nothing and stay, whatever their ids; repeated
+    rows each stay or go. An empty table stays empty, and with an empty
+    benchmark all rows stay. Columns of any other name pass through.
+    """
     items = _items(benchmark)
     if not _fits(items, broadcast_bytes):
         names = docs.columns
         d = docs.toDF(*[f"_d{i}" for i in range(len(names))])
         text = F.col(f"_d{names.index('text')}")
-        held = _joined(d.select(F.xxhash64(text).alias("doc_id"), text.alias("text")), items, threshold).select(F.col("doc_id").alias("_held")).distinct()
-        d = d.join(held, F.xxhash64(text) == F.col("_held"), "left_anti")
+        held = _joined(d.select(F.lit(None).cast("long").alias("doc_id"), text.alias("text")), items, threshold).select(F.col("digest").alias("_held")).distinct()
+        d = d.join(held, F.sha2(text, 256) == F.col("_held"), "left_anti")
         return d.select(*[F.col(f"_d{i}").alias(n) for i, n in enumerate(names)])
     shared = docs.sparkSession.sparkContext.broadcast([(r[0], r[1].encode()) for r in items.collect()])
     at = docs.columns.index("text")

@@ -123,6 +123,10 @@ def test_decontamination(spark, most):
     clean = decontaminate.clean_documents(frame(spark, docs), bench, broadcast_bytes=most)
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for i, *_ in docs if i not in held)
     assert clean.columns == frame(spark, docs).columns
+    none, empty = bench.where("false"), frame(spark, [])
+    assert decontaminate.contaminated(empty, bench, broadcast_bytes=most).count() == decontaminate.contaminated(frame(spark, docs), none, broadcast_bytes=most).count() == 0
+    assert decontaminate.clean_documents(empty, bench, broadcast_bytes=most).count() == 0
+    assert decontaminate.clean_documents(frame(spark, docs), none, broadcast_bytes=most - 1).count() == len(docs)
 
 
 # --- quality rules and ranking ---
