@@ -28,12 +28,15 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that every executor and the driver can reach.
 
-    It is the one in ``spark.checkpoint.dir``. Only where that is unset (a
-    local session) a temporary folder is taken.
+    It is the one in ``spark.checkpoint.dir``. Where that is unset, a local
+    session takes a temporary folder; on a cluster it is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="moraine"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="moraine"))
     return sc.getCheckpointDir()
 
 

@@ -166,8 +166,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it whole.
 
     A document on the edge of its source's target counts as taken once more if
-    at least half its words are. Columns stay as they are. Rows that the mix
-    doesn't take go.
+    at least half its words are. Columns stay as they are, whatever their names.
+    Rows that the mix doesn't take go, and so do null and empty texts, which
+    have no words to take. Ids and sources may be null; rows alike in id,
+    source and size share what the mix takes of them. An empty table stays empty.
     """
     t = taken(docs, **options).where("taken > 0").groupBy("doc_id", "source", "size")
     t = t.agg(F.round(F.sum("taken") / F.count("*") / F.first("size")).cast("int").alias("copies")).where("copies > 0")

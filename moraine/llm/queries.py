@@ -7,17 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontaminate, html_extract, mixing, quality_rank, quality_rules, simhash, substring_dedup, token_codec, token_count, url_filter
 from .oracles import HELD, MIX
 
-#: Where the public vocabularies are, unless told otherwise.
-TOKENIZERS = "/opt/tokenizers"
-
 
 def tokenizer_path(name: str) -> str:
-    try:
-        import public_tokenizers
+    """The place of a public vocabulary; operators take any path."""
+    import public_tokenizers
 
-        return public_tokenizers.path(name)
-    except ImportError:
-        return f"{TOKENIZERS}/{name}"
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
