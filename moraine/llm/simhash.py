@@ -1,14 +1,14 @@
 """SimHash fingerprints and near-duplicates by anchor-point covering.
 
-Two fingerprints that differ in at most ``threshold`` bits have, in one of
-their 32-bit halves, at most ``threshold // 2`` differing bits. So each half
-is searched by itself with that smaller threshold t. The anchors of a half are
-a covering code of length 32 with radius 1: the perfect Hamming code of length
-31, and a free 32nd bit. Every half lies within 1 of one anchor, its home. A
-partner lies within 1 + t of that anchor. So a fingerprint goes home to one
-anchor and visits all anchors within 1 + t, and is compared, anchor by anchor,
-with those at home there. With t = 1 that makes 1 + 17 rows a half at most;
-anchors number 2**27, so that few fingerprints share one.
+The anchors are a covering code of length 64 with radius 1: the perfect
+Hamming code of length 63, and a free 64th bit. Two fingerprints that differ
+in at most ``threshold`` bits have a word between them that differs from
+either in at most half as many, rounded up; that word lies within 1 of some
+anchor. So every fingerprint visits all anchors within 1 + threshold / 2, and
+those that meet at an anchor are compared. (If one of the two stayed at its own
+anchor, the other would have to go as far as 1 + threshold, which is far more
+anchors.) With a threshold of 2 a fingerprint visits at most 33 anchors of
+2**58, so few meet that aren't close, at any number of fingerprints.
 
 Only distinct fingerprints are compared: copies, however many, are one.
 """
@@ -16,6 +16,7 @@ Only distinct fingerprints are compared: copies, however many, are one.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,74 +54,75 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, fp, text_hash): fp is the fingerprint as a signed long."""
 
     def batch(b: pa.RecordBatch) -> dict:
         fp = np.array([fingerprint(x, width) for x in texts(b.column(1))], np.uint64)
-        return {"doc_id": b.column(0), "fp": pa.array(fp.view(np.int64))}
+        return {"doc_id": b.column(0), "fp": pa.array(fp.view(np.int64)), "text_hash": b.column(2)}
 
-    return map_batches(pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text"), batch, "doc_id long, fp long")
+    return map_batches(pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")), batch, "doc_id long, fp long, text_hash long")
 
 
 def _syndrome(x: np.ndarray) -> np.ndarray:
-    """Of bits 0 to 30 in the Hamming code whose check column for bit i is i + 1."""
-    out = np.zeros(len(x), np.uint32)
-    for i in range(31):
-        out ^= ((x >> np.uint32(i)) & np.uint32(1)) * np.uint32(i + 1)
+    """Of bits 0 to 62 in the Hamming code whose check column for bit i is i + 1."""
+    out = np.zeros(len(x), np.uint64)
+    for k in range(6):
+        mask = np.uint64(sum(1 << i for i in range(63) if (i + 1) >> k & 1))
+        out |= (np.bitwise_count(x & mask) & np.uint8(1)).astype(np.uint64) << np.uint64(k)
     return out
 
 
 def _home(x: np.ndarray) -> np.ndarray:
-    """The one anchor within 1 of each 32-bit half."""
+    """The one anchor within 1 of each word that has its free bit."""
     s = _syndrome(x)
-    return np.where(s == 0, x, x ^ (np.uint32(1) << (np.maximum(s, 1) - np.uint32(1))))
+    return np.where(s == 0, x, x ^ (np.uint64(1) << (np.maximum(s, np.uint64(1)) - np.uint64(1))))
 
 
 def anchors(x: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """All anchors within ``reach`` (1 or more) of each half: places in x, and the anchors.
+    """All anchors within ``reach`` (1 or more) of each word: places in x, and the anchors.
 
     Of the bits in which such an anchor differs from x, take one that isn't the
     free bit: without it, a word within ``reach - 1`` of x remains whose home is
     that anchor. Only an anchor that differs in just the free bit has no such
     word, so it is added.
     """
-    patterns = [sum(1 << i for i in c) for k in range(reach) for c in itertools.combinations(range(32), k)]
-    every = np.arange(len(x), dtype=np.uint64) << np.uint64(32)
-    found = []
-    for a in [*(_home(x ^ np.uint32(p)) for p in patterns), _home(x) ^ np.uint32(1 << 31)]:
-        ok = np.bitwise_count(a ^ x) <= reach
-        found.append(every[ok] | a[ok].astype(np.uint64))
-    both = np.unique(np.concatenate(found))
-    return (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    patterns = [sum(1 << i for i in c) for k in range(reach) for c in itertools.combinations(range(64), k)]
+    places, found = [], []
+    for a in [*(_home(x ^ np.uint64(p)) for p in patterns), _home(x) ^ np.uint64(1 << 63)]:
+        ok = np.flatnonzero(np.bitwise_count(a ^ x) <= reach)
+        places.append(ok)
+        found.append(a[ok])
+    place, anchor = np.concatenate(places), np.concatenate(found)
+    order = np.lexsort((anchor, place))
+    place, anchor = place[order], anchor[order]
+    once = np.concatenate([[True], (place[1:] != place[:-1]) | (anchor[1:] != anchor[:-1])]) if len(place) else np.zeros(0, bool)
+    return place[once], anchor[once]
 
 
 def _dealt(distinct: DataFrame, reach: int) -> DataFrame:
-    """(anchor, fp): one row for each anchor within reach; reach 0 means home only."""
+    """(anchor, fp): one row for each anchor within reach."""
 
-    def batch(b: pa.RecordBatch) -> dict:
-        fp = b.column(0).to_numpy(zero_copy_only=False)
-        keys, values = [], []
-        for half in (0, 1):
-            x = ((fp.view(np.uint64) >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            at, a = (np.arange(len(x)), _home(x)) if not reach else anchors(x, reach)
-            keys.append(a.astype(np.int64) | (half << 32))
-            values.append(fp[at])
-        return {"anchor": pa.array(np.concatenate(keys)), "fp": pa.array(np.concatenate(values))}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 2000):
+                fp = b.column(0).slice(k, 2000).to_numpy(zero_copy_only=False)
+                at, a = anchors(fp.view(np.uint64), reach)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(fp[at])], names=["anchor", "fp"])
 
-    return map_batches(distinct, batch, "anchor long, fp long")
+    return distinct.mapInArrow(run, "anchor long, fp long")
 
 
 def links(distinct: DataFrame, threshold: int = 2) -> DataFrame:
     """(fp, other): pairs of distinct fingerprints, fp < other, at most ``threshold`` bits apart.
 
-    A pair may come twice, from both halves. thresholds above 5 aren't provided.
+    A pair may come several times, from several anchors. Thresholds above 4 aren't provided: the anchors to visit grow with its half's power.
     """
-    if not 0 <= threshold <= 5:
-        raise ValueError("threshold must be from 0 to 5")
-    home = _dealt(distinct.select("fp"), 0)
-    visit = _dealt(distinct.select("fp"), 1 + threshold // 2).withColumnRenamed("fp", "other")
-    near = (home["fp"] < visit["other"]) & (F.bit_count(home["fp"].bitwiseXOR(visit["other"])) <= threshold)
-    return home.join(visit, (home["anchor"] == visit["anchor"]) & near).select("fp", "other")
+    if not 0 <= threshold <= 4:
+        raise ValueError("threshold must be from 0 to 4")
+    one = _dealt(distinct.select("fp"), 1 + (threshold + 1) // 2)
+    two = one.toDF("anchor2", "other")
+    near = (F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= threshold)
+    return one.join(two, (F.col("anchor") == F.col("anchor2")) & near).select("fp", "other")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 2) -> DataFrame:
@@ -132,27 +134,34 @@ def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 2) -> Data
     component, which is null if no row in it has an id. Repeated rows stay. An
     empty table gives an empty result; other columns are ignored.
     """
+    each, by_fp = _grouped(docs, width, threshold)
+    out = each.join(by_fp, "fp")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+
+
+def _grouped(docs: DataFrame, width: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, text_hash) of every row, and (fp, root, component_id) of every fingerprint."""
     each = durable(fingerprints(docs, width))
     distinct = durable(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
     rooted = components(links(distinct, threshold))
     named = distinct.join(rooted, distinct["fp"] == rooted["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     named = durable(named)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(ids, "root").select("fp", "component_id")
-    out = each.join(by_fp, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+    return each, named.join(ids, "root").select("fp", "root", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stay when of each component only the smallest doc_id does.
+    """One row of ``docs`` for each component: that of the smallest doc_id, null last, and of its rows the text of least hash.
 
-    Rows that repeat a doc_id count once, whatever their texts, and so do those
-    without one; ``similar.without_similar`` tells rows apart by text as well.
+    Rows are told apart by id and text; those equal in both count once. The
+    pipeline takes ``similar.without_similar``, which goes by similarity.
     Columns stay as they are.
     """
-    kept = near_duplicates(docs, width, threshold).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    each, by_fp = _grouped(docs, width, threshold)
+    kept = each.join(by_fp, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias("_kept"), F.col("k.text_hash").alias("_text"))
     names = docs.columns
     d = docs.toDF(*[f"_d{i}" for i in range(len(names))])
-    key = f"_d{names.index('doc_id')}"
-    d = d.join(kept, F.col(key).cast("long").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([key])
+    d = d.withColumn("_id", F.col(f"_d{names.index('doc_id')}").cast("long")).withColumn("_hash", F.xxhash64(f"_d{names.index('text')}"))
+    d = d.join(kept, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_hash") == F.col("_text")), "left_semi").dropDuplicates(["_id", "_hash"])
     return d.select(*[F.col(f"_d{i}").alias(n) for i, n in enumerate(names)])

@@ -209,13 +209,18 @@ def test_simhash(spark):
             least[g] = min(i, least.get(g, i))
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == sorted((str(i), str(least.get(g))) for (i, _), g in zip(fps, group))
     kept = simhash.without_near_duplicates(frame(spark, docs)).collect()
-    assert sorted(str(r.doc_id) for r in kept) == sorted({str(v) for v in least.values()} | {"None" for g in set(group) if g not in least})
+    assert sorted(str(r.doc_id) for r in kept) == sorted(str(least.get(g)) for g in set(group))
+    # unlike texts with one id, or none, stay
+    r = random.Random(12)
+    unlike = [(i, " ".join(f"w{r.randrange(9999)}" for _ in range(40)), "a", "en") for i in (None, None, 7, 7, 8)]
+    assert simhash.without_near_duplicates(frame(spark, unlike + unlike)).count() == 5
+    assert simhash.near_duplicates(frame(spark, [])).count() == simhash.without_near_duplicates(frame(spark, [])).count() == 0
 
 
 def test_close_fingerprints_always_meet(spark):
     r = random.Random(7)
     base = [r.getrandbits(64) for _ in range(40)]
-    for threshold in (0, 1, 2, 3):
+    for threshold in (0, 1, 2, 3, 4):
         near = {b ^ sum(1 << k for k in r.sample(range(64), threshold)) for b in base}
         every = sorted({*base, *near})
         df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in every], "fp long")
