@@ -24,6 +24,7 @@ import sys
 import uuid
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -238,34 +239,54 @@ def _parts(d: DataFrame) -> int:
     return max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-input_bytes(d) // PART_BYTES), MOST_PARTS))
 
 
-def _part(d: DataFrame, n: int) -> Column:
-    """Which of n ranges of doc_id a row lies in; nulls in the first.
+def _part(d: DataFrame, n: int) -> tuple[Column, int]:
+    """Which range of (doc_id, hash of the text) a row lies in, nulls first, and the number of ranges: about n.
 
-    The bounds are quantiles of the ids alone, so texts are read once only.
-    They are looked up in two steps: among every m-th, then among m.
+    The bounds are quantiles of the ids alone, so texts are read once only. An
+    id that fills several quantiles, or null, has ranges of its own by the
+    text's hash. The bounds are looked up in two steps: among every m-th, then
+    among m.
     """
-    bounds = sorted(set(d.select("doc_id").stat.approxQuantile("doc_id", [k / n for k in range(1, n)], min(0.01, 0.1 / n)))) if n > 1 else []
+    if n <= 1:
+        return F.lit(0), 1
+    rows, nulls = d.agg(F.count("*"), F.count("*") - F.count("doc_id")).first()
+    quantiles = Counter(d.select("doc_id").stat.approxQuantile("doc_id", [k / n for k in range(1, n)], min(0.01, 0.1 / n)))
+    bounds = sorted(quantiles)
+    by_hash = lambda k: F.least(F.floor((F.xxhash64("text") / F.lit(2.0**64) + 0.5) * k).cast("int"), k - 1)
+    null_parts = n * nulls // rows if rows else 0
+    first = F.lit(0) if null_parts < 2 else by_hash(F.lit(null_parts))
+    before = 0 if null_parts < 2 else null_parts
     if not bounds:
-        return F.lit(0)
+        return F.coalesce(F.when(F.col("doc_id").isNotNull(), F.lit(before)), first), before + 1
     m = max(1, round(len(bounds) ** 0.5))
     chunks = [bounds[a : a + m] for a in range(0, len(bounds), m)]
     number = F.col("doc_id").cast("double")
     below = lambda xs: F.size(F.filter(xs, lambda b: b < number))
     chunk = F.greatest(below(F.lit([c[0] for c in chunks])) - 1, F.lit(0))
-    return F.coalesce(chunk * m + below(F.get(F.lit(chunks), chunk)), F.lit(0))
+    at = chunk * m + below(F.get(F.lit(chunks), chunk))
+    # beyond 2**53 a double may stand for several ids
+    hot = {i: quantiles[b] for i, b in enumerate(bounds) if quantiles[b] > 1 and abs(b) < 1 << 53}
+    part = at + before
+    if hot:
+        # the ids of a range but for the hot one at its end, then that one's parts
+        shift = np.concatenate([[0], np.cumsum([hot.get(i, 0) for i in range(len(bounds))])]).tolist()
+        own = F.element_at(F.create_map(*[x for i, k in hot.items() for x in (F.lit(int(bounds[i])).cast("long"), F.lit(k))]), F.col("doc_id"))
+        part = part + F.get(F.lit(shift), at) + F.coalesce(1 + by_hash(own), F.lit(0))
+    return F.coalesce(F.when(F.col("doc_id").isNotNull(), part), first).cast("int"), before + len(bounds) + 1 + sum(hot.values())
 
 
 def tokenized(docs: DataFrame, path: str, end: int | None, partitions: int | None = None, keep: int = KEEP) -> DataFrame:
     """(part, seq, doc_id, n, ids, counts): in ascending doc_id order over parts and within each.
 
     ids are little-endian, in n equal parts of two or four bytes (``ids_of``). Null ids come first; rows that tie on
-    doc_id are ordered by their text. Each part ends with a row without
+    doc_id are ordered by a hash of their text. Each part ends with a row without
     document, which has how often each id occurs in the part (``counts``,
     uint64; null in all other rows).
     """
     d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     n = partitions or _parts(d)
-    d = d.repartitionById(n, _part(d, n)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    part, n = _part(d, n)
+    d = d.repartitionById(n, part).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
 
     def rows(part, seq, doc_id, n, ids, counts) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(seq, pa.int64()), doc_id, pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["part", "seq", "doc_id", "n", "ids", "counts"])

@@ -311,11 +311,30 @@ def test_codec_checkpoints_and_checksums():
         coder.decode(len(ids), checks, words)
 
 
+def order_of(doc):
+    """Null ids first; rows of one id by XXH64 of the text, as a signed number (null: the seed)."""
+    h = 42 if doc[1] is None else xxhash.xxh64_intdigest(doc[1].encode(), 42)
+    return doc[0] is not None, doc[0] or 0, h - (h >> 63 << 64), doc[1] or ""
+
+
+def test_token_output_with_hot_ids(spark, libraries):
+    r = random.Random(5)
+    docs = [(r.choice([None] * 5 + [7] * 4 + [-3, 99, 12, 13, 14]), " ".join(r.choice("the of and x y".split()) for _ in range(r.randrange(12))), "a", "en") for _ in range(500)]
+    tokens = token_codec.tokenized(frame(spark, docs), tokenizer_path("word_bpe_49k.json"), 2, partitions=16).where("counts is null")
+    rows = sorted(tokens.collect(), key=lambda x: (x.part, x.seq))
+    per_part = {}
+    for x in rows:
+        per_part[x.part] = per_part.get(x.part, 0) + 1
+    assert len(rows) == 500 and max(per_part.values()) < 100  # each of the two is a third and more of all rows
+    for x, (i, t, *_) in zip(rows, sorted(docs, key=order_of), strict=True):
+        assert x.doc_id == i and token_codec.ids_of(x.ids, x.n).tolist() == [*libraries["word_bpe_49k.json"].encode(t, add_special_tokens=False).ids, 2]
+
+
 def test_token_output(spark, libraries):
     docs = some_docs(70, 2) + [d for d in ODD if d[0] != 3] + [(3, "twice", "a", "en"), (200, "a <|ENDOFTEXT|> b <|endoftext|>X <|EndOfText|>", "a", "en")]
     got = sorted(token_codec.encoded(frame(spark, docs), tokenizer_path("word_bpe_49k.json"), 2).collect(), key=lambda r: r.start)
     at = 0
-    for r, (i, t, *_) in zip(got, sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] or "")), strict=True):
+    for r, (i, t, *_) in zip(got, sorted(docs, key=order_of), strict=True):
         ids = np.array([*libraries["word_bpe_49k.json"].encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         assert (r.start, r.n_tokens) == (at, len(ids))
         if i is not None and i > 5:
