@@ -93,22 +93,23 @@ def _measured(d: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [features(t).tolist() for t in texts(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "h", "x"])
 
-    return d.mapInArrow(run, "doc_id long, x array<double>")
+    return d.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, h long, x array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
     """Learn from at most ``sample`` labelled documents that aren't held out.
 
-    Labels that are null or neither 0 nor 1 say nothing.
+    Labels that are null or neither 0 nor 1 say nothing; of several for one id
+    the greatest counts, and of several texts that of least hash, so reruns agree.
     """
     known = pick(labels, "doc_id", "quality").select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))
     known = known.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     met = d.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")  # at most ``sample`` ids
-    rows = _measured(met).dropDuplicates(["doc_id"]).join(known, "doc_id").orderBy("doc_id").collect()
+    rows = _measured(met).groupBy("doc_id").agg(F.min_by("x", "h").alias("x")).join(known, "doc_id").orderBy("doc_id").collect()
     width = len(features(b""))
     return Ranker(np.array([r["x"] for r in rows]).reshape(-1, width), np.array([r["quality"] for r in rows], int))
 
