@@ -111,7 +111,8 @@ class Transform:
             return F.unix_date(c.cast("date"))
         if self.name == "hour":
             us = _micros(c, kind)
-            return F.floor((us - F.pmod(us, F.lit(3_600_000_000))) / 3_600_000_000).cast("int")
+            hour = F.lit(3_600_000_000).cast("bigint")
+            return F.call_function("div", us - F.pmod(us, hour), hour).cast("int")
         if self.name == "truncate":
             if isinstance(kind, (T.StringType, T.BinaryType)):
                 return F.substring(c, 1, self.arg)
@@ -165,6 +166,34 @@ def _micros(c: Column, kind: T.DataType) -> Column:
     return F.unix_micros(c.cast(T.TimestampType()))  # the session is in UTC
 
 
+def murmur3_of(values: list[bytes]) -> np.ndarray:
+    """``murmur3`` of many strings: a step takes the next four bytes of all that have so many."""
+    u = np.uint32
+    lengths = np.array([len(v) for v in values], np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    data = np.frombuffer(b"".join(values) + bytes(4), np.uint8).astype(u)
+    at, n = (np.cumsum(lengths) - lengths)[order], lengths[order]
+    turned = lambda x, r: (x << u(r)) | (x >> u(32 - r))
+    mixed = lambda k: turned(k * u(0xCC9E2D51), 15) * u(0x1B873593)
+    h, blocks = np.zeros(len(n), u), n // 4
+    for k in range(int(blocks.max(initial=0))):
+        live = int(np.searchsorted(-blocks, -k))  # the longer ones come first
+        p = at[:live] + 4 * k
+        word = data[p] | data[p + 1] << u(8) | data[p + 2] << u(16) | data[p + 3] << u(24)
+        h[:live] = turned(h[:live] ^ mixed(word), 13) * u(5) + u(0xE6546B64)
+    rest, end = n % 4, at + 4 * blocks
+    tail = np.zeros(len(n), u)
+    for j in range(3):
+        tail |= np.where(rest > j, data[np.minimum(end + j, len(data) - 1)] << u(8 * j), u(0))
+    h ^= mixed(tail)  # of no bytes it is 0
+    h ^= n.astype(u)
+    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> u(shift))) * u(by)
+    out = np.empty(len(n), np.int64)
+    out[order] = (h ^ (h >> u(16))).view(np.int32)
+    return out
+
+
 def _murmur3_udf(kind: T.DataType):
     scale = kind.scale if isinstance(kind, T.DecimalType) else 0
 
@@ -172,7 +201,7 @@ def _murmur3_udf(kind: T.DataType):
     def h(values: pd.Series) -> pd.Series:
         as_kind = T.DecimalType(38, scale) if scale or isinstance(kind, T.DecimalType) else kind
         codes, distinct = pd.factorize(values)
-        hashed = np.array([murmur3(bucket_bytes(v, as_kind)) for v in distinct] or [0], np.int64)
+        hashed = np.append(murmur3_of([bucket_bytes(v, as_kind) for v in distinct]), 0)
         out = pd.Series(np.where(codes >= 0, hashed[np.maximum(codes, 0)], 0), dtype="Int64")
         out[codes < 0] = pd.NA
         return out
