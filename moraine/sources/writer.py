@@ -13,6 +13,7 @@ import decimal
 import math
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
@@ -112,9 +113,28 @@ class Writer:
         folder = f"{meta.location}/data/{uuid.uuid4().hex}"
         out = tagged(rows, meta.schema).write.option("compression", meta.properties.get(*COMPRESSION)).option("parquet.block.row.count.limit", meta.properties.get(*ROW_GROUP))
         out = out.option("maxRecordsPerFile", self._rows_in_file())
-        (out.partitionBy(PART) if parts else out).parquet(folder)
+        with self._sized():
+            (out.partitionBy(PART) if parts else out).parquet(folder)
         return self._collect(folder, spec)
 
+    @contextmanager
+    def _sized(self):
+        """Rebalanced partitions are as large as a file should be, in bytes as shuffled. The last of several writers restores the engine's setting."""
+        catalog, key = self.table.catalog, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+        conf = catalog.spark.conf
+        with catalog.lock:
+            if not catalog.writers:
+                catalog.plain_size = conf.get(key, None)
+            catalog.writers += 1
+            conf.set(key, f"{int(self.meta.properties.get(*TARGET_BYTES))}b")
+        try:
+            yield
+        finally:
+            with catalog.lock:
+                catalog.writers -= 1
+                if not catalog.writers:
+                    conf.unset(key) if catalog.plain_size is None else conf.set(key, catalog.plain_size)
+
     def _rows_in_file(self) -> int:
         """So many rows that a file is about the target size, from the sizes of the files added last, else of the schema's types."""
         files = [f for m in self.table.manifests(self.table.snapshot_of())[-2:] for f in self.table.catalog.manifests.read(m)]
