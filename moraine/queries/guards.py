@@ -16,6 +16,7 @@ from ..functions.transforms import Transform
 from ..plans import predicates as P
 from ..sources.importer import frame, to_parquet
 from ..sources.scan import partition_predicate
+from ..streaming.changes import merge_stream
 from .base import Query, sources
 from .changes import ALL, _all, _table
 
@@ -282,6 +283,17 @@ def _murmur(x: str) -> str:
     return "WITH " + ", ".join(f"{n} AS ({p})" for n, p in zip("abcde", parts))
 
 
+def _stream(e, d):
+    """Events as a stream of files: each micro-batch is a merge of the last event of each user."""
+    events = e.spark.read.parquet(f"{d}/events.parquet")
+    e.create_table("db.last", "user_id BIGINT, event_id BIGINT, event_type STRING")
+    stream = e.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parquet*")
+    merge = lambda engine, table, batch: engine.apply_changes_as_scd1(table).table_filter(P.not_null("user_id")).data(batch).key_columns(["user_id"])
+    writer = merge_stream(e, stream.selectExpr("CAST(user_id AS BIGINT) AS user_id", "CAST(event_id AS BIGINT) AS event_id", "event_type").where("user_id IS NOT NULL"), "db.last", "events", merge, (["user_id"], "event_id"))
+    writer.option("checkpointLocation", f"{e.catalog.warehouse}/stream").trigger(availableNow=True).start().awaitTermination()
+    return e.sql("SELECT user_id, event_id, event_type FROM db.last")
+
+
 def _q(name, make, oracle, tables=()):
     return Query(name, oracle, tables, make=make)
 
@@ -309,6 +321,7 @@ GUARDS = [
     _q("filter_from_partitions", _partitions, "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey >= 0 AND o_custkey < 200"),
     _q("engine_hooks", _filters, "SELECT o_orderkey, o_custkey, true AS busy, true AS slow, true AS told FROM orders WHERE o_orderstatus = 'O' AND o_custkey > 50 AND o_totalprice > 1000"),
     _q("files_in_and_out", _files, "SELECT CAST(n_nationkey AS BIGINT) AS k, lower(n_name) AS s, true AS kept FROM nation UNION ALL SELECT o_orderkey, CAST(o_custkey AS VARCHAR), true FROM orders WHERE o_orderstatus = 'P'"),
+    _q("streaming_merge", _stream, "SELECT CAST(user_id AS BIGINT) AS user_id, MAX(CAST(event_id AS BIGINT)) AS event_id, arg_max(event_type, event_id) AS event_type FROM events WHERE user_id IS NOT NULL GROUP BY user_id"),
     _q("import_into_table", _imported, "SELECT n_regionkey, COUNT(*) AS n, MAX(n_name) AS last FROM nation GROUP BY n_regionkey"),
     _q("part_transform_term", _transform_term, f"{_murmur('CAST(o_custkey AS BIGINT)')} SELECT o_orderkey, CAST(hash % 8 AS INTEGER) AS bucket FROM e WHERE year(o_orderdate) = 1996 AND hash % 8 IN (1, 2, 5)", O),
 ]

@@ -136,11 +136,14 @@ class Writer:
                     conf.unset(key) if catalog.plain_size is None else conf.set(key, catalog.plain_size)
 
     def _rows_in_file(self) -> int:
-        """So many rows that a file is about the target size, from the sizes of the files added last, else of the schema's types."""
+        """So many rows that a file is about the target size, from the sizes of the files added last.
+
+        In a new table a row is taken to need a quarter of what its types need in memory.
+        """
         files = [f for m in self.table.manifests(self.table.snapshot_of())[-2:] for f in self.table.catalog.manifests.read(m)]
         records, size = sum(f.records for f in files), sum(f.size for f in files)
         if records <= 1000:
-            records, size = 1, self.table.catalog.spark._jsparkSession.parseDataType(self.meta.schema.json()).defaultSize()
+            records, size = 4, self.table.catalog.spark._jsparkSession.parseDataType(self.meta.schema.json()).defaultSize()
         return max(1, int(1.1 * int(self.meta.properties.get(*TARGET_BYTES)) * records / size))
 
     def _order(self, s) -> Column:
