@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .mixing import STEP, STEP_20
+from .mixing import LACK, STEP, STEP_20
 
 #: op1_mix_sources: the same targets, slots and shuffled streams by plain windows over whole tables.
 MIX = rf"""
@@ -21,7 +21,8 @@ i AS (SELECT unnest(range(1, (total + block - 1) // block + 1)) AS i FROM p),
 f AS (SELECT (i >> 20) * CAST({STEP_20!r} AS DOUBLE) AS a, (i & 1048575) * CAST({STEP!r} AS DOUBLE) AS b FROM i),
 g AS (SELECT (a - floor(a)) + (b - floor(b)) AS x FROM f),
 takes AS (SELECT sid, count(*) AS n FROM (SELECT x - floor(x) AS x FROM g) JOIN iv ON x >= lo AND x < hi GROUP BY sid),
-pl AS (SELECT s4.*, least(coalesce(n, 0) * block, CAST(round(target) AS BIGINT)) AS length FROM s4 LEFT JOIN takes USING (sid) CROSS JOIN p),
+g0 AS (SELECT s4.*, coalesce(n, 0) * block AS given, CAST(round(target) AS BIGINT) AS goal FROM s4 LEFT JOIN takes USING (sid) CROSS JOIN p),
+pl AS (SELECT *, CASE WHEN (goal - given) * {LACK} > goal THEN goal ELSE least(given, goal) END AS length FROM g0),
 st AS (SELECT d.doc_id, d.size, pl.source_size, pl.target, pl.length, d.source,
         coalesce(sum(d.size) OVER (PARTITION BY pl.sid ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':42'), doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
        FROM d JOIN pl ON d.source IS NOT DISTINCT FROM pl.source)
