@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the smallest doc_id stays, null last: a Jaccard similarity of five-word shingles of 0.8 or more.
+    """Of each group of near-duplicates the smallest doc_id stays, null last: SimHash first, then exact prefixes, a Jaccard similarity of five-word shingles of 0.8 or more.
 
     Rows are told apart by id and text, so unlike texts stay with any ids. Texts without a word are one group.
     """

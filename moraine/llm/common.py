@@ -40,13 +40,16 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, few: bool = False) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder.
 
-    Meant for slim tables: ids, counts and hashes.
+    Meant for slim tables: ids, counts and hashes. ``few``: in twice as many
+    files as the cluster has cores at most. For each file Hadoop's local file
+    system may start a process, to set permissions, and until that runs its
+    own program the memory of the executor counts twice.
     """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return (df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism) if few else df).checkpoint()
 
 
 class Staged:

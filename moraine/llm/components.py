@@ -32,19 +32,20 @@ def _small(links: DataFrame) -> DataFrame:
     return rewired.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, few: bool = False) -> DataFrame:
     """(node, root): the least node of each linked node's component.
 
     ``links`` has two columns of one ordered type; links to oneself and those
     with a null say nothing. Nodes without a link, and roots, aren't listed.
+    ``few`` is for ``durable``.
     """
     u, v = links.columns
     now = links.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u != v").distinct()
-    now = durable(now)
+    now = durable(now, few)
     state = None
     while True:
         count, mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if not count or (count, mark) == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = (count, mark)
-        now = durable(_small(_large(now)))
+        now = durable(_small(_large(now)), few)

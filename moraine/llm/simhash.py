@@ -46,7 +46,10 @@ def digests(text: bytes, width: int = 3) -> np.ndarray:
 
 def fingerprint(text: bytes, width: int = 3) -> int:
     """The 64-bit SimHash of a text's word shingles; 0 if it has no word."""
-    h = digests(text, width)
+    return fingerprint_of(digests(text, width))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65536):
         ones += np.unpackbits(h[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -125,6 +128,17 @@ def links(distinct: DataFrame, threshold: int = 2) -> DataFrame:
     return one.join(two, (F.col("anchor") == F.col("anchor2")) & near).select("fp", "other")
 
 
+def meetings(distinct: DataFrame, threshold: int = 2) -> DataFrame:
+    """(fp, other): fingerprints at most ``threshold`` bits from the least that visits an anchor of theirs, once for each such anchor.
+
+    A row a visit at most, whatever the number of fingerprints that are close to each other; not all pairs of ``links``.
+    """
+    one = _dealt(distinct.select("fp"), 1 + (threshold + 1) // 2)
+    least = one.groupBy("anchor").agg(F.min("fp").alias("other"), F.count("*").alias("of")).where("of > 1").drop("of")
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= threshold
+    return one.join(least, "anchor").where((F.col("fp") != F.col("other")) & near).select("fp", "other")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id, fp): one row for each row of ``docs``.
 
