@@ -14,8 +14,10 @@ element among them, and occurs on at least three pages and half of the host's. V
 the tree of the elements in them, and every block lies in the slot of the
 deepest such element. Text that is in a valid class itself belongs to the
 template, except within an article or main element. What the other slots hold
-is the page's content; it is kept unless the way down to its slot leads
-through a part that isn't main text.
+is the page's content; it is kept unless the way down to it leads through a part
+that isn't main text, or its slot is a menu: a path of the template, outside an
+article or main element, that holds three blocks or more on the page, all of
+them links. If only menus are left, they are kept.
 
 Parsing takes time and memory in proportion to the page, however deep its
 elements nest and whatever is left open.
@@ -92,7 +94,10 @@ class Page:
         self.blocks: list[tuple[Element, str, int]] = []
         self.stack: list[Element] = []
         self.places: dict[str, list[int]] = {}
+        #: Whether a block is a link: all its text lies in a elements.
+        self.link: list[bool] = []
         self.waiting: list[str] = []
+        self.plain = False
         self._open("#page", "")
         self._parse(text)
         self._flush()
@@ -105,8 +110,9 @@ class Page:
 
     def _flush(self) -> None:
         words = html.unescape("".join(self.waiting)).split()
-        self.waiting = []
+        link, self.waiting, self.plain = not self.plain, [], False
         if words:
+            self.link.append(link)
             text = " ".join(words)
             e = self.stack[-1].base
             self.blocks.append((e, text, xxhash.xxh64_intdigest(text, e.token)))
@@ -124,7 +130,7 @@ class Page:
     def _parse(self, text: str) -> None:
         at = 0
         while m := TAG.search(text, at):
-            self.waiting.append(text[at : m.start()])
+            self._add(text[at : m.start()])
             at = m.end()
             tag = (m[2] or "").lower()
             if not tag:
@@ -149,7 +155,11 @@ class Page:
                     if tag in LIKE:
                         self._end_like(LIKE[tag])
                 self._open(tag, m[3])
-        self.waiting.append(text[at:])
+        self._add(text[at:])
+
+    def _add(self, text: str) -> None:
+        self.waiting.append(text)
+        self.plain = self.plain or not self.places.get("a") and not text.isspace() and text != ""
 
     def tokens(self) -> Counter:
         return Counter([e.token for e in self.elements if e.tag in BLOCK or e.tag == "#page"] + [t for _, _, t in self.blocks])
@@ -159,8 +169,14 @@ class Page:
         slot: dict[Element, Element] = {}
         for e in self.elements:  # parents come first
             slot[e] = e if e.above is None or e.base is e and e.token in template else slot[e.above]
-        # the parts below a slot's element are the page's own, and have marks like any other
-        found = [(e, text) for e, text, token in self.blocks if not slot[e].apart and not e.apart and (e.content or token not in template)]
+        held: dict[int, list[bool]] = {}
+        for (e, _, token), link in zip(self.blocks, self.link):
+            if not e.apart and not e.content and token not in template and slot[e].above:
+                held.setdefault(slot[e].token, []).append(link)
+        menus = {t for t, links in held.items() if len(links) >= 3 and all(links)}
+        # a part's elements are all apart, the page's own as well as the template's
+        found = [(e, text) for e, text, token in self.blocks if not e.apart and (e.content or token not in template)]
+        found = [(e, text) for e, text in found if e.content or slot[e].token not in menus] or found
         if any(e.content for e, _ in found):
             found = [(e, text) for e, text in found if e.content]
         return "\n".join(text for _, text in found)

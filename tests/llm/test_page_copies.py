@@ -93,3 +93,13 @@ def test_templates_against_real_occurrence_vectors(spark):
     got = {x.page_id: x.text for x in html_extract.extracted(spark.createDataFrame(rows, PAGES)).collect()}
     assert got == {i: html_extract.Page(html).main_text(want[i // 100]) for i, _, html in rows}
     assert any(want.values())
+
+
+def test_slots_of_links_are_menus(spark):
+    """Unmarked lists of links that differ by page go by the template's slots; without a template they stay."""
+    links = lambda k: "".join(f"<li><a href=/{j}>To {j + 7 * k}</a></li>" for j in range(4))
+    page = lambda k: f"<html><body><div><ul>{links(k)}</ul></div><section><p>Own {k}, see <a>this</a></p><p>More of {k}</p></section></body></html>"
+    rows = [(k, f"http://h/{k}", page(k)) for k in range(6)] + [(9, "http://alone/9", page(9))]
+    got = {r.page_id: r.text for r in html_extract.extracted(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [got[k] for k in range(6)] == [f"Own {k}, see this\nMore of {k}" for k in range(6)]
+    assert got[9].startswith("To 63\nTo 64")
