@@ -172,8 +172,17 @@ def _bounds(values: DataFrame, name: str) -> Predicate:
     return or_(some, is_null(name)) if nulls else some
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """One side of a join, of so many rows at most; many are never broadcast.
+
+    Spark goes by compressed bytes, of which a path that repeats needs next to
+    none, while the driver and every executor would hold it once a row.
+    """
+    return df.hint("merge") if rows > MOST_VALUES else df
+
+
 def among(rows: DataFrame, values: DataFrame, how: str) -> DataFrame:
     """Rows with one of the combinations (``left_semi``) or none (``left_anti``). Null matches null."""
-    v = values.toDF(*[f"_v{i}" for i in range(len(values.columns))])
+    v = spread(values, MOST_VALUES + 1).toDF(*[f"_v{i}" for i in range(len(values.columns))])
     same = [F.col(f"`{n}`").eqNullSafe(F.col(f"_v{i}")) for i, n in enumerate(values.columns)]
     return rows.join(v, reduce(lambda a, b: a & b, same), how)

@@ -23,7 +23,7 @@ from ..plans.predicates import Predicate, and_, equal, greater_than_or_equal, is
 from ..sources.commit import Change, CommitMetrics
 from ..sources.scan import FILE, ROW, TimeTravel, plan, read_table
 from ..sources.writer import project, projection
-from .command import Command, among, values_filter
+from .command import Command, among, spread, values_filter
 
 OP, S_FILE, S_ROW = "_op", "_file", "_row"
 
@@ -192,14 +192,14 @@ class _Merge(Command):
         rows = target.where(cand if candidate is None else cand & candidate)
         if self._among is not None:
             rows = among(rows, self._among, "left_semi")
-        every = self._changes(rows, source, fields, always)
+        every = self._changes(spread(rows, sum(f.records for f in got.files)), source, fields, always)
         # unchanged matches stay for the check that a target row is hit once
         changes = stage(every.where((F.col(OP) != "N") | F.col(S_FILE).isNotNull()).withColumn("_n", F.col(OP) == "N"))
         hits = changes.where(F.col(S_FILE).isNotNull())
         by_row = hits.groupBy(S_FILE, S_ROW).agg(F.count("*").alias("times"), F.max(~F.col("_n")).alias("changed"))
-        by_file = by_row.groupBy(S_FILE).agg(F.max("times"), F.max("changed")).collect()  # a row a file
-        check(all(times == 1 for _, times, _ in by_file), "Merge matched one row of the target with several rows of the source")
-        paths = {path for path, _, changed in by_file if changed}
+        by_file = by_row.groupBy(S_FILE).agg(F.max("times"), F.max("changed"), F.count_if("changed")).collect()  # a row a file
+        check(all(times == 1 for _, times, _, _ in by_file), "Merge matched one row of the target with several rows of the source")
+        paths = {path for path, _, changed, _ in by_file if changed}
         changes = changes.where(~F.col("_n"))
         touched = [f for f in got.files if f.path in paths]
         new = changes.where(F.col(OP).isin("I", "U")).select(*[F.col(f"`{f.name}`") for f in fields])
@@ -207,7 +207,7 @@ class _Merge(Command):
         if touched:
             # one join gives the rows that stay as they are and those that are closed
             marks = changes.where(F.col(S_FILE).isNotNull()).select(F.col(S_FILE).alias(FILE), F.col(S_ROW).alias(ROW), F.lit(True).alias("_hit"))
-            old = read_table(self.table, [f.path for f in touched], file_columns=True).join(marks, [FILE, ROW], "left")
+            old = read_table(self.table, [f.path for f in touched], file_columns=True).join(spread(marks, sum(n for *_, n in by_file)), [FILE, ROW], "left")
             if closing is None:
                 old = old.where("_hit IS NULL")
             else:

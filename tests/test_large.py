@@ -4,12 +4,14 @@ import threading
 from contextlib import contextmanager
 
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from moraine import Engine
 from moraine.errors import ValidationError
 from moraine.plans import predicates as P
 from moraine.sources import metadata
 from moraine.sources.commit import Change, Transaction
+from moraine.sources.writer import Writer
 
 from .lake import engine
 
@@ -110,3 +112,17 @@ def test_two_writers_off_the_local_disk(spark, remote, monkeypatch):
     a.update("db.t").condition_sql("k = 101").update_sets({"s": "y"}).execute()
     assert rows(b, "db.t") == [(100, "x"), (101, "y"), (102, "x")]
     assert not [p for p in whole if "/data/" in p]  # footers come by seeks
+
+
+def test_a_merge_with_many_rows_broadcasts_none(lake, monkeypatch):
+    lake.create_table("db.t", "k BIGINT, v INT")
+    lake.insert_into("db.t").sql(f"SELECT id AS k, 0 AS v FROM range({2 * MANY})").execute()
+    plans = []
+    plain_write, plain_parquet = Writer.write, DataFrameWriter.parquet
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(Writer, "write", lambda self, df: (seen(df), plain_write(self, df))[1])
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: (seen(self._df), plain_parquet(self, *a, **b))[1])
+    lake.apply_changes_as_scd1("db.t").table_filter(P.not_null("k")).source_sql(f"SELECT id AS k, 1 AS v FROM range({MANY})").key_columns(["k"]).execute()
+    assert sum("SortMergeJoin" in p for p in plans) >= 2  # keys, and rows that stay
+    assert not [p for p in plans if "Broadcast" in p]
+    assert rows(lake, "db.t") == [(k, int(k < MANY)) for k in range(2 * MANY)]
