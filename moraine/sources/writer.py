@@ -27,6 +27,8 @@ from .metadata import DataFile, Files, Metadata, Spec, Table
 PART = "_partition_of_file"
 #: Properties of a table that a writer heeds, with their defaults.
 COMPRESSION, TARGET_BYTES, ROW_GROUP = ("write.parquet.compression-codec", "zstd"), ("write.target-file-size-bytes", 512 << 20), ("write.parquet.row-group-limit", 122_880)
+#: Memory that the rows of one task are to take while they are sorted.
+SORT_BYTES = 512 << 20
 
 
 def fit(c: Column, have: T.DataType, want: T.DataType) -> Column:
@@ -113,20 +115,21 @@ class Writer:
         folder = f"{meta.location}/data/{uuid.uuid4().hex}"
         out = tagged(rows, meta.schema).write.option("compression", meta.properties.get(*COMPRESSION)).option("parquet.block.row.count.limit", meta.properties.get(*ROW_GROUP))
         out = out.option("maxRecordsPerFile", self._rows_in_file())
-        with self._sized():
+        with self._sized(bool(parts or order)):
             (out.partitionBy(PART) if parts else out).parquet(folder)
         return self._collect(folder, spec)
 
     @contextmanager
-    def _sized(self):
-        """Rebalanced partitions are as large as a file should be, in bytes as shuffled. The last of several writers restores the engine's setting."""
+    def _sized(self, sorts: bool):
+        """Rebalanced partitions are as large as a file should be, in bytes as shuffled, and as a task can sort. The last of several writers restores the engine's setting."""
         catalog, key = self.table.catalog, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
         conf = catalog.spark.conf
         with catalog.lock:
             if not catalog.writers:
                 catalog.plain_size = conf.get(key, None)
             catalog.writers += 1
-            conf.set(key, f"{int(self.meta.properties.get(*TARGET_BYTES))}b")
+            target = int(self.meta.properties.get(*TARGET_BYTES))
+            conf.set(key, f"{min(target, self._bytes_to_sort()) if sorts else target}b")
         try:
             yield
         finally:
@@ -135,6 +138,19 @@ class Writer:
                 if not catalog.writers:
                     conf.unset(key) if catalog.plain_size is None else conf.set(key, catalog.plain_size)
 
+    def _bytes_to_sort(self) -> int:
+        """Bytes as shuffled of rows that take SORT_BYTES in memory.
+
+        A row is taken to need a quarter of its types' size as shuffled. In
+        memory there are words for all columns, the partition's hash, and the
+        sort's pointers besides.
+        """
+        width = self._width()
+        return max(1 << 20, int(SORT_BYTES * (width / 4) / (width + 8 * len(self.meta.schema) + 128)))
+
+    def _width(self) -> int:
+        return self.table.catalog.spark._jsparkSession.parseDataType(self.meta.schema.json()).defaultSize()
+
     def _rows_in_file(self) -> int:
         """So many rows that a file is about the target size, from the sizes of the files added last.
 
@@ -143,7 +159,7 @@ class Writer:
         files = [f for m in self.table.manifests(self.table.snapshot_of())[-2:] for f in self.table.catalog.manifests.read(m)]
         records, size = sum(f.records for f in files), sum(f.size for f in files)
         if records <= 1000:
-            records, size = 4, self.table.catalog.spark._jsparkSession.parseDataType(self.meta.schema.json()).defaultSize()
+            records, size = 4, self._width()
         return max(1, int(1.1 * int(self.meta.properties.get(*TARGET_BYTES)) * records / size))
 
     def _order(self, s) -> Column:

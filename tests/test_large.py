@@ -126,3 +126,12 @@ def test_a_merge_with_many_rows_broadcasts_none(lake, monkeypatch):
     assert sum("SortMergeJoin" in p for p in plans) >= 2  # keys, and rows that stay
     assert not [p for p in plans if "Broadcast" in p]
     assert rows(lake, "db.t") == [(k, int(k < MANY)) for k in range(2 * MANY)]
+
+
+def test_a_sorted_write_bounds_what_a_task_sorts(lake):
+    """By memory: rows of few bytes as shuffled are many, each with its words and its partition's hash."""
+    lake.create_table("db.t", "k BIGINT, big BOOLEAN, f BOOLEAN", ["big"])
+    lake.insert_into("db.t").sql("SELECT id * 2654435761 % 4294967296 AS k, true AS big, id % 2 = 0 AS f FROM range(0, 3000000, 1, 8)").execute()
+    t = lake.table("db.t")
+    files = t.files(t.snapshot_of())
+    assert sum(f.records for f in files) == 3_000_000 and max(f.records for f in files) < 2_000_000
