@@ -1,5 +1,7 @@
 """What must hold when tables are large, or not on a local disk."""
 
+import os
+import re
 import threading
 from contextlib import contextmanager
 
@@ -9,11 +11,13 @@ from pyspark.sql import DataFrameWriter
 from moraine import Engine
 from moraine.errors import ValidationError
 from moraine.plans import predicates as P
+from moraine.queries import QUERIES
 from moraine.sources import metadata
 from moraine.sources.commit import Change, Transaction
 from moraine.sources.writer import Writer
 
 from .lake import engine
+from .test_queries import SF
 
 MANY = 20_000
 
@@ -135,3 +139,10 @@ def test_a_sorted_write_bounds_what_a_task_sorts(lake):
     t = lake.table("db.t")
     files = t.files(t.snapshot_of())
     assert sum(f.records for f in files) == 3_000_000 and max(f.records for f in files) < 2_000_000
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no data folder")
+def test_no_distinct_value_carries_a_sketch(spark):
+    plan = QUERIES["agg_approx_distinct"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    keys = [re.search(r"keys=\[(.*?)\]", x)[1] for x in plan.split("\n") if "approx_count_distinct" in x]
+    assert keys and not [k for k in keys if "o_custkey" in k]
